@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import leakage, packing, splitting, tokenizer
+from graphmill.llm import docpairs, leakage, packing, splitting, tokenizer
 from graphmill.operators.hierarchy import current_rows
 from graphmill.session import durable, table
 
@@ -41,6 +41,25 @@ def p1_pack_chunks(spark: SparkSession, d: str) -> DataFrame:
     return out.select("container", F.col("item").alias("chunk_id"), F.col("tokens").alias("tokens_placed"), F.col("capacity").alias("token_budget"))
 
 
+# --- 2: functions with their documentation -----------------------------------------------
+
+
+def _current_files(spark: SparkSession, d: str, cols: list[str]) -> DataFrame:
+    return current_rows(table(spark, d, "files").select("path", "scanned_at", *cols), "path", "scanned_at", cols)
+
+
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Code-description pairs of the current symbols."""
+    cols = ["name", "kind", "signature", "file_path", "start_line", "end_line", "docstring", "language", "deleted_at"]
+    symbols = current_rows(table(spark, d, "symbols").select("id", "ingested_at", *cols), "id", "ingested_at", cols)
+    pairs = docpairs.doc_pairs(symbols, _current_files(spark, d, ["content"]))
+    return pairs.withColumnRenamed("id", "symbol_id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pairs(spark, d).select("symbol_id").distinct()
+
+
 # --- 6: splitting oversized chunks -------------------------------------------------------
 
 
@@ -96,6 +115,8 @@ def queries() -> dict:
     return {
         "p1_pack_items": p1_pack_items,
         "p1_pack_chunks": p1_pack_chunks,
+        "p2_found": p2_found,
+        "p2_pairs": p2_pairs,
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
         "p8_ids": p8_ids,
