@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import docpairs, leakage, packing, splitting, tokenizer
+from graphmill.llm import docpairs, handwritten, leakage, packing, splitting, tokenizer
 from graphmill.operators.hierarchy import current_rows
 from graphmill.session import durable, table
 
@@ -60,6 +60,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pairs(spark, d).select("symbol_id").distinct()
 
 
+# --- 5: files nobody wrote by hand -------------------------------------------------------
+
+
+def p5_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Label of every file by evidence, folders and copies; symbols lie in files, so their paths are among these."""
+    files = table(spark, d, "files").select("path", "scanned_at", "content")
+    return handwritten.label_files(files, "scanned_at").select("path", "label", F.round("belief", 6).alias("belief"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_labels(spark, d).filter("label <> 'handwritten'").select("path")
+
+
 # --- 6: splitting oversized chunks -------------------------------------------------------
 
 
@@ -117,6 +130,8 @@ def queries() -> dict:
         "p1_pack_chunks": p1_pack_chunks,
         "p2_found": p2_found,
         "p2_pairs": p2_pairs,
+        "p5_found": p5_found,
+        "p5_labels": p5_labels,
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
         "p8_ids": p8_ids,
