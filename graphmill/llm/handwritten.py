@@ -61,7 +61,7 @@ FORM_CHARS = 200
 
 _GENERATED_NAME = re.compile(
     r"(?:_pb2(?:_grpc)?\.pyi?|_pb\.(?:js|d\.ts|ts)|\.pb(?:-c)?\.\w+|\.pb\.(?:go|cc|h)|[._-](?:generated|gen|autogen|designer|g)\.\w+|_generated\.\w+|OuterClass(?:\.pb)?\.java|"
-    r"^zz_generated[._]\S+|_(?:string|easyjson|moq|mock|ffjson)_gen\.go|_gen\.go|_string\.go|\.g\.dart|\.freezed\.dart|_grpc\.pb\.\w+|^moc_\w+|^ui_\w+\.h)$",
+    r"^zz_generated[._]\S+|_(?:string|easyjson|moq|mock|ffjson)_gen\.go|_gen\.go|_string\.go|\.g\.dart|\.freezed\.dart|_grpc\.pb\.\w+|\.yy\.\w+|\.tab\.[ch]\w*|^moc_\w+|^ui_\w+\.h)$",
     re.I,
 )
 _MINIFIED_NAME = re.compile(r"(?:[.-]min\.(?:js|mjs|cjs|ts|css)|(?:^|[.-])(?:bundle|chunk|vendor|app|main|runtime)[.-][0-9a-f]{6,}\.\w+|[.-]bundle\.(?:js|ts))$", re.I)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import docpairs, handwritten, leakage, packing, splitting, tokenizer
+from graphmill.llm import docpairs, handwritten, leakage, packing, residue, splitting, tokenizer
 from graphmill.operators.hierarchy import current_rows
 from graphmill.session import durable, table
 
@@ -124,6 +124,24 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id")
 
 
+# --- 10: residue in place of content -----------------------------------------------------
+
+
+def p10_residue(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with residue and its labels."""
+    return residue.residue(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_residue(spark, d).select("doc_id")
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that stay once residue is excluded."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "doc_kind")
+    return docs.join(p10_found(spark, d), "doc_id", "left_anti")
+
+
 def queries() -> dict:
     return {
         "p1_pack_items": p1_pack_items,
@@ -137,6 +155,9 @@ def queries() -> dict:
         "p8_ids": p8_ids,
         "p9_found": p9_found,
         "p9_leaks": p9_leaks,
+        "p10_found": p10_found,
+        "p10_residue": p10_residue,
+        "p10_clean": p10_clean,
     }
 
 
