@@ -181,6 +181,14 @@ _PY_TRIPLE = re.compile(r"^\s*[rRuUbB]{0,2}(\"\"\"|''')")
 _ANNOTATION = re.compile(r"^\s*(?:@\w|#\[|\[\w)")
 
 
+def _left_open(line: str) -> str | None:
+    """The triple quote that a line opens and does not close."""
+    first = re.search(r"\"\"\"|'''", line)
+    if not first or line.lstrip().startswith("#"):
+        return None
+    return first.group() if line.count(first.group()) % 2 else None
+
+
 def _python_islands(lines: list[str]) -> Iterator[dict]:
     n = len(lines)
     i = 0
@@ -193,24 +201,25 @@ def _python_islands(lines: list[str]) -> Iterator[dict]:
             continue
         m = _PY_DEF.match(lines[i])
         if not m:
-            t = _PY_TRIPLE.match(lines[i])
-            if t and lines[i].count(t.group(1)) == 1:
-                triple = t.group(1)
+            triple = _left_open(lines[i])
             i += 1
             continue
         top = i
         while top and lines[top - 1].lstrip().startswith("@") and lines[top - 1].strip():
             top -= 1
-        depth, j = 0, i
-        while j < n:
+        depth, j, single, ended = 0, i, False, False
+        while j < n and not ended:
             bare = re.sub(r"#.*$|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", "", lines[j])
-            depth += sum(bare.count(c) for c in "([{") - sum(bare.count(c) for c in ")]}")
-            if depth <= 0 and bare.rstrip().endswith(":") or depth < 0 or j - i > 60:
-                break
-            j += 1
+            for at, c in enumerate(bare):
+                depth += (c in "([{") - (c in ")]}")
+                if c == ":" and depth == 0:  # the colon that ends the signature
+                    ended, single = True, bool(bare[at + 1 :].strip())
+                    break
+            if not ended:
+                j += 1
         width = len(m.group("indent").expandtabs(8))
         k, last, inside = j + 1, min(j, n - 1), None
-        while k < n:
+        while k < n and not single:
             line = lines[k]
             if inside:
                 last = k
@@ -220,9 +229,7 @@ def _python_islands(lines: list[str]) -> Iterator[dict]:
                 if len(line[: len(line) - len(line.lstrip())].expandtabs(8)) <= width:
                     break
                 last = k
-                t = _PY_TRIPLE.match(line)
-                if t and line.count(t.group(1)) == 1:
-                    inside = t.group(1)
+                inside = _left_open(line)
             k += 1
         doc = None
         first = j + 1
