@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from graphmill.functions.paths import file_name, parent_dir
 
+#: Hexadecimal digits of a name's digest that choose its bucket: 4,096 buckets per folder.
+BUCKET_HEX = 3
+
 
 def merkle_build(leaves: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(path, kind, depth, hash) of every file and of every folder above one, '' being the top at depth 0.
 
-    leaves: (path, hash) with unique plain paths. A folder's hash is SHA-256 over
-    its children's ``name|kind|hash`` in order of name, built level by level
-    upwards; the number of levels is the depth of the hierarchy.
+    leaves: (path, hash) with unique plain paths. A folder's children are dealt
+    over BUCKETS by the digest of their names; a bucket's hash is SHA-256 over
+    its sorted ``name|kind|hash`` lines, the folder's over its sorted buckets'.
+    No folder is ever collected whole. Built level by level upwards; the number
+    of levels is the depth of the hierarchy.
     """
     files = leaves.select("path", F.lit("file").alias("kind"), F.size(F.split("path", "/")).alias("depth"), "hash")
     deepest = max_depth or files.agg(F.max("depth")).first()[0]
@@ -25,7 +30,10 @@ def merkle_build(leaves: DataFrame, max_depth: int | None = None) -> DataFrame:
         if below is not None:
             here = here.unionByName(below)
         line = F.concat_ws("|", file_name(F.col("path")), "kind", "hash")
-        folder = here.groupBy(parent_dir(F.col("path")).alias("path")).agg(F.array_sort(F.collect_list(line)).alias("l"))
+        part = F.substring(F.sha2(file_name(F.col("path")), 256), 1, BUCKET_HEX).alias("part")
+        bucket = here.groupBy(parent_dir(F.col("path")).alias("path"), part).agg(F.array_sort(F.collect_list(line)).alias("l"))
+        bucket = bucket.select("path", F.concat_ws("|", "part", F.sha2(F.array_join("l", "\n"), 256)).alias("b"))
+        folder = bucket.groupBy("path").agg(F.array_sort(F.collect_list("b")).alias("l"))
         below = folder.select("path", F.lit("dir").alias("kind"), F.lit(d - 1).alias("depth"), F.sha2(F.array_join("l", "\n"), 256).alias("hash"))
         out.append(below)
     res = out[0]

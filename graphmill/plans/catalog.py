@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.plans import problems
+from graphmill.plans import problems, q_text
 
-_MODULES = [problems]
+_MODULES = [q_text, problems]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
