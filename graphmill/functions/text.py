@@ -58,6 +58,9 @@ CONCEPTS = {
 # Names too general to tell anything.
 GENERIC_NAMES = ["main", "run", "get", "set", "new", "init", "data", "item", "value", "handler"]
 
+#: Fixed value: the characters with the Unicode property White_Space, for use inside a bracket expression.
+WHITE_SPACE = "\u0009\u000a\u000b\u000c\u000d\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 #: Longest query that is analysed, in characters, most useful and most expanded terms.
 QUERY_CHARS, USEFUL_TERMS, EXPANDED_TERMS = 2_048, 24, 32
 
@@ -87,8 +90,8 @@ def concept_map() -> dict[str, str]:
 
 
 def count_tokens(c: Column) -> Column:
-    """13 * words / 10 rounded up; 0 for blank text."""
-    return _long(F.floor((F.regexp_count(c, F.lit(r"\S+")) * 13 + 9) / 10))
+    """13 * words / 10 rounded up, words being parted by Unicode white space; 0 for blank text."""
+    return _long(F.floor((F.regexp_count(c, F.lit(f"[^{WHITE_SPACE}]+")) * 13 + 9) / 10))
 
 
 def code_tokens(c: Column) -> Column:
@@ -223,7 +226,7 @@ def line_col(c: Column, offset: Column) -> Column:
 
 def is_boundary(line: Column) -> Column:
     """Whether a source line is a good place to cut after."""
-    s = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
+    s = F.regexp_replace(line, f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")
     return (s == "") | s.rlike(r"[};]$|^(match |if |for |while |try:|except )")
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.plans import problems, q_graph, q_text
+from graphmill.plans import problems, q_graph, q_search, q_text
 
-_MODULES = [q_text, q_graph, problems]
+_MODULES = [q_text, q_graph, q_search, problems]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return problems.p7_found(spark, d)
+    return q_graph.graph_match_typed(spark, d)
 
 
 def queries() -> dict:

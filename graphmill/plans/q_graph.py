@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
     def add(f):
         Q[name] = f
         if sql is not None:
-            SQL[name] = sql
+            SQL[name] = sql.replace(r"\S+", f"[^{T.WHITE_SPACE}]+")
         return f
 
     return add

@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None):
     def add(f):
         Q[name] = f
         if sql is not None:
-            SQL[name] = sql
+            SQL[name] = sql.replace(r"\S+", f"[^{T.WHITE_SPACE}]+")
         return f
 
     return add
@@ -183,7 +183,7 @@ def _(s, d):
     return _docs(s, d).select("doc_id", lc.alias("p")).select("doc_id", "p.line", "p.col")
 
 
-@query("boundary_lines", r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null), t as (select doc_id, trim(regexp_replace(line, '^[\t\n\v\f\r ]+|[\t\n\v\f\r ]+$', '', 'g')) as s from l)
+@query("boundary_lines", r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null), t as (select doc_id, regexp_replace(line, '^[\t\n\v\f\r\x{85}\p{Z}]+|[\t\n\v\f\r\x{85}\p{Z}]+$', '', 'g') as s from l)
 select doc_id, count(*) filter (where s = '' or regexp_matches(s, '[};]$|^(match |if |for |while |try:|except )')) as boundaries from t group by doc_id""")
 def _(s, d):
     lines = _docs(s, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
