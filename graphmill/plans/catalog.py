@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.plans import problems, q_graph, q_search, q_text
+from graphmill.plans import problems, q_graph, q_search, q_sources, q_text
 
-_MODULES = [q_text, q_graph, q_search, problems]
+_MODULES = [q_text, q_graph, q_search, q_sources, problems]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
