@@ -55,13 +55,13 @@ def _(s, d):
     return live.sessions(table(s, d, "events"), "user_id", "ts")
 
 
-_TASKS = "select user_id as task_id, case event_type when 'signup' then 'create' when 'view' then 'create' when 'purchase' then 'complete' when 'error' then 'fail' else 'touch' end as event, ts as at from events"
+_TASKS = "select user_id as task_id, case event_type when 'signup' then 'create' when 'view' then 'create' when 'purchase' then 'complete' when 'error' then 'fail' else 'touch' end as event, ts as t_at from events"
 
 
 @query(
     "ttl_expiry",
-    f"""with t as ({_TASKS}), b as (select task_id, min(epoch_us(at) // 1000) as born from t where event = 'create' group by 1),
-    e as (select t.task_id, epoch_us(t.at) // 1000 as ms, event from t join b using (task_id) where event in ('complete', 'fail', 'cancel') and epoch_us(t.at) // 1000 between born and born + 3600000),
+    f"""with t as ({_TASKS}), b as (select task_id, min(epoch_us(t_at) // 1000) as born from t where event = 'create' group by 1),
+    e as (select t.task_id, epoch_us(t.t_at) // 1000 as ms, event from t join b using (task_id) where event in ('complete', 'fail', 'cancel') and epoch_us(t.t_at) // 1000 between born and born + 3600000),
     f as (select task_id, arg_min(event, struct_pack(m := ms, e := event)) as event from e group by 1)
     select b.task_id, case f.event when 'complete' then 'completed' when 'fail' then 'failed' else 'cancelled' end as status from b left join f using (task_id)""",
 )

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+import warnings
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -67,7 +68,9 @@ def _dotted(node: ast.AST) -> str | None:
 def _python(text: str) -> Parsed:
     out = Parsed()
     try:
-        tree = ast.parse(text)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
         return out
     lines = text.split("\n")
