@@ -60,6 +60,15 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes in fewer partitions than there are cores, as one small file does; else as it is.
+
+    For narrow passes that cost far more than a shuffle of their input.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def release(df: DataFrame) -> None:
     """Delete the table behind a `durable` result that nothing will read again."""
     path = getattr(df, "_graphmill_path", None)
