@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphmill.llm import docpairs, handwritten, leakage, packing, residue, splitting, tokenizer
 from graphmill.operators.hierarchy import current_rows
-from graphmill.session import durable, table
+from graphmill.session import spread, table
 
 # --- 1: filling containers ---------------------------------------------------------------
 
@@ -65,7 +65,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_labels(spark: SparkSession, d: str) -> DataFrame:
     """Label of every file by evidence, folders and copies; symbols lie in files, so their paths are among these."""
-    files = table(spark, d, "files").select("path", "scanned_at", "content")
+    files = spread(table(spark, d, "files").select("path", "scanned_at", "content"))
     return handwritten.label_files(files, "scanned_at").select("path", "label", F.round("belief", 6).alias("belief"))
 
 
@@ -109,7 +109,7 @@ where ceil(s.words * 13 / 10.0) > coalesce(own.max_tokens, o.max_tokens)
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of every document by the byte_bpe_50k vocabulary."""
-    return tokenizer.encode_corpus(table(spark, d, "documents"))
+    return tokenizer.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 # --- 9: evaluation texts in training text ------------------------------------------------
@@ -117,7 +117,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the items that leaked into them, the number of leaked windows and the first one's place."""
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +129,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_residue(spark: SparkSession, d: str) -> DataFrame:
     """Documents with residue and its labels."""
-    return residue.residue(table(spark, d, "documents"))
+    return residue.residue(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
