@@ -72,8 +72,8 @@ _CODE = re.compile(
     r"^(?:[{}()\[\];,]+|\}\s*(?:else\b.*|\)\s*;?|;)?|(?:if|for|while|switch|match|else|try|catch|elif|with|def|fn|func|function|class|import|from|package|use|let|const|var|int|return|print|assert|raise|throw|del|pass|break|continue)\b.*[;{}:)\]]|"
     r"(?:return|let|const|var)\b[^.]*;|[\w.\[\]'\"$&*>-]+\s*(?:[-+*/|&]?=|:=|<-)\s*[^=].*|(?:[\w$]+(?:\.|::|->))*[\w$]+(?:::<[^>]*>)?\s*\([^)]*\)(?:\?|\.\w+\([^)]*\))*;?|[^\s].*\w\)\??;)$"
 )
-_OPEN = re.compile(r"^\s*(?:/\*+!?|\*+/|///+!?|//+!?|#+!?|--+|;;+|%+|\"\"\"|'''|<!--|\(\*|\*(?=\s|$)|\*+(?=[^\w*]))+\s?")
-_CLOSE = re.compile(r"\s*(?:\*+/|\"\"\"|'''|-->|\*\))\s*$")
+_OPEN = re.compile(r"(?:(?:/\*+!?|\*+/|///+!?|//+!?|#+!?|--+|;;+|%+|\"\"\"|'''|<!--|\(\*|\*(?=\s|$)|\*+(?=[^\w*]))\s*)+")
+_CLOSE = ("*/", '"""', "'''", "-->", "*)")
 _XML = re.compile(r"</?(?:summary|remarks|para|param|returns?|value|inheritdoc|see|c|p|br|code|example|exception|typeparam)\b[^<>]*/?>", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+")
@@ -84,10 +84,12 @@ def strip_marks(doc: str) -> list[str]:
     """The lines of a documentation comment without comment marks and XML documentation tags."""
     out = []
     for line in doc.splitlines():
-        before = None
-        while before != line:
-            before = line
-            line = _CLOSE.sub("", _OPEN.sub("", line, count=1))
+        line = line.strip()
+        m = _OPEN.match(line)
+        line = line[m.end() :] if m else line
+        while line.endswith(_CLOSE):
+            line = line[:-2].rstrip("*/-\"'") if line.endswith(("*/", "*)")) else line[:-3]
+            line = line.rstrip()
         out.append(_XML.sub(" ", line).strip())
     return out
 

@@ -160,7 +160,7 @@ _SLOTS = re.compile(
     r"<(?:your|insert|enter|add|my)[-_ ][\w\- ]{1,40}>|\[(?:your|insert|enter|add)[ _-][\w\- ]{1,40}\]|\{(?:your|insert)[-_ ][\w\- ]{1,40}\}|(?<![\w/=@$#%{\"'(.])\{[a-z][a-z_]{1,30}\}(?![\w}\"'])",
     re.I,
 )
-_FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n.*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
+_FENCE = re.compile(r"^[ \t]*(```++|~~~++)[^\n]*\n.*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
 _INLINE = re.compile(r"``[^\n]+?``|`[^`\n]+`")
 _QUOTED = re.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|„[^“”\n]{1,300}[“”]|«[^»\n]{1,300}»|‘[^’\n]{2,300}’(?!\w)")
 _LOG = re.compile(r"^\s*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|^\s*(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b\s*[:=\[]|^\s*\w+ \d+ \d\d:\d\d:\d\d ")
@@ -214,8 +214,8 @@ def passages(text: str | None) -> list[list[str]]:
             continue
         if _BLOCK.match(line) or _LOG.match(line):
             continue
-        line = _INLINE.sub(" ", line)
-        if "```" in line:
+        line = _INLINE.sub(" ", line).strip()
+        if not line or "```" in line:
             continue
         if _MARKUP.match(line):  # an error document or a notice in markup, as it came
             bare = re.sub(r"([a-z])([A-Z])", r"\1 \2", line) if "<Error>" in line else line
