@@ -67,15 +67,15 @@ def orphan_references(
         for x in here[1:]:
             cond = cond & x
         k = F.concat_ws(_SEP, *[F.col(c) for c, m in zip(key_cols, mask) if m])
-        mine = refs.filter(cond).withColumn("k", k)
-        life = targets[mask].withColumn("found", F.lit(True))
-        seen = skew_join(mine, life, "k", "left")
+        mine = refs.filter(cond).withColumn("__k", k)  # names that no table has
+        life = targets[mask].select(F.col("k").alias("__k"), F.struct("born", "gone").alias("__life"))
+        seen = skew_join(mine, life, "__k", "left")
         reason = (
-            F.when(F.col("found").isNull(), "missing")
-            .when(F.col(at) < F.col("born"), "late")
-            .when(F.col("gone") <= F.col(at), "deleted")
+            F.when(F.col("__life").isNull(), "missing")
+            .when(F.col(at) < F.col("__life.born"), "late")
+            .when(F.col("__life.gone") <= F.col(at), "deleted")
         )
-        parts.append(seen.withColumn("reason", reason).filter("reason is not null").drop("k", "born", "gone", "found"))
+        parts.append(seen.withColumn("reason", reason).filter("reason is not null").drop("__k", "__life"))
     if match == "full":
         some, every = F.lit(False), F.lit(True)
         for c in key_cols:

@@ -122,6 +122,8 @@ def test_orphans_by_mask(spark):
     rows = spark.createDataFrame([("p", "x", _t(2), None), ("p", "y", _t(3), None), ("p", "z", _t(1), None), ("p", "z", _t(2), _t(8))], "a string, b string, v timestamp_ntz, d timestamp_ntz")
     targets = {(True, True): O.target_life(rows, ["a", "b"], "v", "d"), (True, False): O.target_life(rows, ["a"])}
 
+    refs = refs.withColumn("k", F.lit("clash")).withColumn("born", F.lit("clash"))
+
     def run(match):
         return {(r.n, r.reason) for r in O.orphan_references(refs, ["a", "b"], targets, "at", match).collect()}
 
