@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphmill.functions.classify import edge_priority, prefetch_weight
 from graphmill.functions.text import is_well_named
+from graphmill.operators.skew import lead_by_blocks
 from graphmill.session import durable, release
 
 #: Damping and number of power iterations.
@@ -202,15 +203,14 @@ def trace_edges(steps: DataFrame, known: DataFrame | None = None) -> DataFrame:
     A step whose node is unknown breaks the pair on both sides and is never
     bridged; a step to itself is kept. trace_id is the greatest of the traces.
     """
-    w = W.partitionBy("trace_id").orderBy("pos")
     s = steps
     if known is not None:
         k = known.select(F.col("id").alias("node"), F.lit(True).alias("known"))
         s = steps.join(k, "node", "left")
     else:
         s = steps.withColumn("known", F.lit(True))
-    s = s.withColumn("to", F.lead("node").over(w)).withColumn("to_known", F.lead("known").over(w))
-    pairs = s.filter("known and to_known and to is not null").select(F.col("node").alias("src"), F.col("to").alias("dst"), "trace_id")
+    s = lead_by_blocks(s, "trace_id", "pos", ["node", "known"])
+    pairs = s.filter("known and next_known and next_node is not null").select(F.col("node").alias("src"), F.col("next_node").alias("dst"), "trace_id")
     marks = F.array_sort(F.collect_set(F.concat(F.lit("trace:"), F.col("trace_id").cast("string"))))
     out = pairs.groupBy("src", "dst").agg(F.max("trace_id").cast("string").alias("trace_id"), marks.alias("t"))
     return out.select("src", "dst", F.lit("References").alias("edge_type"), F.concat(F.array(F.lit("execution-trace")), "t").alias("tags"), "trace_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A key with at least this share of the rows is joined by broadcast of its own right row.
@@ -37,3 +38,19 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", sh
     warm = left.filter(~F.coalesce(is_hot, F.lit(False))).join(right, key, how)
     hot_right = right.filter(is_hot)
     return left.filter(is_hot).join(F.broadcast(hot_right), key, how).unionByName(warm)
+
+
+def lead_by_blocks(df: DataFrame, key: str, pos: str, cols: list[str], block: int = 1 << 16) -> DataFrame:
+    """df with ``next_{c}`` of each column: its value in the key's next row by `pos`, an integer, null in the last row.
+
+    Windows cover `block` positions of a key, not the whole key: the last row of
+    a block takes the first row of the key's next block that has any, found
+    among one row per block.
+    """
+    blocked = df.withColumn("__b", F.floor(F.col(pos) / block))
+    first = blocked.groupBy(key, "__b").agg(F.min(F.struct(F.col(pos).alias("__p"), *[F.col(c) for c in cols])).alias("__f"))
+    nxt = first.select(key, "__b", F.lead("__f").over(W.partitionBy(key).orderBy("__b")).alias("__n"))
+    w = W.partitionBy(key, "__b").orderBy(pos)
+    here = blocked.withColumn("__here", F.lead(F.struct(*[F.col(c) for c in cols])).over(w))
+    out = here.join(nxt, [key, "__b"], "left")
+    return out.select(*df.columns, *[F.when(F.col("__here").isNotNull(), F.col(f"__here.{c}")).otherwise(F.col(f"__n.{c}")).alias(f"next_{c}") for c in cols])

@@ -12,6 +12,7 @@ from graphmill.operators import budget as U
 from graphmill.operators import graph as G
 from graphmill.operators import merkle as M
 from graphmill.operators import storage as S
+from graphmill.operators.skew import lead_by_blocks
 from graphmill.plans import fixtures as X
 from graphmill.plans import match
 from graphmill.session import durable, table
@@ -390,8 +391,8 @@ _TR = X.ctes("traces")
 
 @query("trace_pairs", f"{_TR}, p as (select node as src, lead(node) over (partition by trace_id order by pos) as dst, trace_id from traces) select src, dst, count(*) as n, count(distinct trace_id) as traces from p where dst is not null group by 1, 2")
 def _(s, d):
-    w = W.partitionBy("trace_id").orderBy("pos")
-    p = X.traces(s, d).select(F.col("node").alias("src"), F.lead("node").over(w).alias("dst"), "trace_id").filter("dst is not null")
+    p = lead_by_blocks(X.traces(s, d), "trace_id", "pos", ["node"])
+    p = p.select(F.col("node").alias("src"), F.col("next_node").alias("dst"), "trace_id").filter("dst is not null")
     return p.groupBy("src", "dst").agg(F.count("*").alias("n"), F.countDistinct("trace_id").alias("traces"))
 
 

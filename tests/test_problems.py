@@ -11,7 +11,7 @@ from graphmill.functions.paths import plain_ref
 from graphmill.operators import hierarchy as H
 from graphmill.operators import orphans as O
 from graphmill.operators import snapshots as S
-from graphmill.operators.skew import skew_join
+from graphmill.operators.skew import lead_by_blocks, skew_join
 from graphmill.plans import problems
 
 
@@ -31,6 +31,17 @@ def test_skew_join_equals_join(spark):
         skew_join(left, right, "k", "full")
 
 
+def test_lead_by_blocks(spark):
+    rnd = random.Random(1)
+    rows = [(k, p, f"{k}{p}" if rnd.random() > 0.2 else None) for k in "ab" for p in rnd.sample(range(60), 25)]
+    got = {(r.k, r.p): r.next_v for r in lead_by_blocks(spark.createDataFrame(rows, "k string, p long, v string"), "k", "p", ["v"], 7).collect()}
+    want = {}
+    for k in "ab":
+        mine = sorted(((p, v) for q, p, v in rows if q == k), key=lambda t: t[0])
+        want |= {(k, p): v for (p, _), (_, v) in zip(mine, [*mine[1:], (None, None)])}
+    assert got == want
+
+
 def _brute_cycles(par):
     out = {}
     for v in par:
