@@ -120,6 +120,12 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
 
 
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Proximity matches: documents that hold most words of a window of an item close together."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return leakage.near_leaks(docs, table(spark, d, "eval_items")).withColumn("share", F.round("share", 4))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id")
 
@@ -155,6 +161,7 @@ def queries() -> dict:
         "p8_ids": p8_ids,
         "p9_found": p9_found,
         "p9_leaks": p9_leaks,
+        "p9_near": p9_near,
         "p10_found": p10_found,
         "p10_residue": p10_residue,
         "p10_clean": p10_clean,

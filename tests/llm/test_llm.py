@@ -266,6 +266,17 @@ def test_leak_across_blocks(spark):
     assert got == {(1, 1): (24, 240), (1, 3): (989, 0)}
 
 
+def test_near_leaks_hold_the_exact_ones(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    swapped = item.replace("w3 w4", "w4 w3").replace("w15 w16", "w16 w15")
+    docs = spark.createDataFrame([(1, item), (2, swapped), (3, " ".join(f"w{i}" for i in range(0, 20, 2)) + " w0 w2"), (4, None)], "doc_id long, text string")
+    assert {r.doc_id for r in leakage.leaks(docs, items).collect()} == {1}
+    near = {r.doc_id: r.share for r in leakage.near_leaks(docs, items).collect()}
+    assert near[1] == 1.0 and near[2] == 1.0 and 3 not in near
+    assert leakage.near_leaks(docs, items.limit(0)).count() == 0
+
+
 # --- 10 ---
 
 RESIDUE = [
