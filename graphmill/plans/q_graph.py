@@ -96,7 +96,7 @@ def _(s, d):
     "resolve_ranked",
     f"""{NAMES}, r as (select e.src, e.dst_name, a.file_path as sp, n.id as target, n.file_path as tp, p.name as pn from g_name_edges e join g_nodes a on a.id = e.src join g_nodes n on n.name = e.dst_name left join g_nodes p on p.id = n.parent_id),
     sc as (select *, case when sp = tp then 100.0 when regexp_replace(sp, '(^|/)[^/]*$', '') = regexp_replace(tp, '(^|/)[^/]*$', '') then 50.0 else 0.0 end as score from r)
-    select src, dst_name, arg_min(target, struct_pack(s := -score, t := target)) as target, max(score) as score from sc group by src, dst_name""",
+    select src, dst_name, arg_min(target, struct_pack(s := -score, t := target)) as target, max(score)::double as score from sc group by src, dst_name""",
 )
 def _(s, d):
     return B.bind_ranked(X.name_edges(s, d), X.nodes(s, d))
@@ -517,12 +517,12 @@ def _(s, d):
 _ADJ = "adj as (select src as a, dst as b from g_edges where src <> dst union select dst, src from g_edges where src <> dst)"
 
 
-@query("bfs_2hop", f"{NE}, {_ADJ}, h1 as (select distinct b as id from adj where a = 's1'), h2 as (select distinct adj.b as id from adj join h1 on h1.id = adj.a) select 's1' as qid, id, min(hop) as hop from (select 's1' as id, 0 as hop union all select id, 1 from h1 union all select id, 2 from h2) group by id")
+@query("bfs_2hop", f"{NE}, {_ADJ}, h1 as (select distinct b as id from adj where a = 's1'), h2 as (select distinct adj.b as id from adj join h1 on h1.id = adj.a) select 's1' as qid, id, min(hop)::bigint as hop from (select 's1' as id, 0 as hop union all select id, 1 from h1 union all select id, 2 from h2) group by id")
 def _(s, d):
     return G.expand(X.edges(s, d), s.createDataFrame([("s1", "s1")], "qid string, id string"), 2)
 
 
-@query("taint_3hop", f"{NE}, {_ADJ.replace('from g_edges where', 'from g_edges where edge_type in (@) and').replace('@', chr(39) + 'Contains' + chr(39) + ', ' + chr(39) + 'Imports' + chr(39))}, h0 as (select 'r1' as id, 'user-input' as label), h1 as (select distinct b as id, label from adj join h0 on h0.id = a), h2 as (select distinct b as id, label from adj join h1 on h1.id = a), h3 as (select distinct b as id, label from adj join h2 on h2.id = a) select id, label, min(hop) as hop from (select *, 0 as hop from h0 union all select *, 1 from h1 union all select *, 2 from h2 union all select *, 3 from h3) group by 1, 2")
+@query("taint_3hop", f"{NE}, {_ADJ.replace('from g_edges where', 'from g_edges where edge_type in (@) and').replace('@', chr(39) + 'Contains' + chr(39) + ', ' + chr(39) + 'Imports' + chr(39))}, h0 as (select 'r1' as id, 'user-input' as label), h1 as (select distinct b as id, label from adj join h0 on h0.id = a), h2 as (select distinct b as id, label from adj join h1 on h1.id = a), h3 as (select distinct b as id, label from adj join h2 on h2.id = a) select id, label, min(hop)::bigint as hop from (select *, 0 as hop from h0 union all select *, 1 from h1 union all select *, 2 from h2 union all select *, 3 from h3) group by 1, 2")
 def _(s, d):
     return G.propagate_labels(X.edges(s, d), s.createDataFrame([("r1", "user-input")], "id string, label string"), 3, ["Contains", "Imports"])
 
@@ -543,7 +543,7 @@ def _(s, d):
 @query("ranked_expansion_1hop", f"""{NE}, deg as (select id, count(*) as degree from (select src as id from g_edges union all select dst from g_edges) group by id),
 w as (select src as a, dst as b, edge_type, case edge_type when 'Calls' then 0.96 when 'Imports' then 0.86 when 'References' then 0.78 when 'Contains' then 0.74 end as w from g_edges union all select dst, src, edge_type, case edge_type when 'Calls' then 0.96 when 'Imports' then 0.86 when 'References' then 0.78 when 'Contains' then 0.74 end from g_edges),
 k as (select *, row_number() over (partition by a order by w desc, b, edge_type) as n from w where a <> b)
-select k.a as qid, b as id, round(max(0.72 * w / (1 + 0.14 * ln(1 + degree))), 6) as score, 1 as hop from k join deg on deg.id = k.b where n <= 96 and k.a in ('s1', 'n3', 'p5') group by 1, 2""")
+select k.a as qid, b as id, round(max(0.72 * w / (1 + 0.14 * ln(1 + degree))), 6) as score, 1::bigint as hop from k join deg on deg.id = k.b where n <= 96 and k.a in ('s1', 'n3', 'p5') group by 1, 2""")
 def _(s, d):
     roots = s.createDataFrame([(x, x) for x in ("s1", "n3", "p5")], "qid string, id string")
     return G.ranked_expansion(X.edges(s, d), roots, 1).withColumn("score", F.round("score", 6))
@@ -553,7 +553,7 @@ def _(s, d):
 w as (select src as a, dst as b, w from pw union select dst, src, w * 0.85 from pw), k as (select *, row_number() over (partition by a order by w desc, b) as n from w where a <> b),
 seeds as (select 'c3' as id union all select 'n2'), mates as (select s.id as qid, m.id, 0.15 as c, 1 as hop from seeds s join g_nodes a on a.id = s.id join g_nodes m on m.file_path = a.file_path and m.id <> s.id),
 g as (select * from mates union all select s.id, b, least(0.99, w * 0.7), 1 from seeds s join k on k.a = s.id where n <= 256)
-select qid, id, round(1 - product(1 - c), 6) as score, min(hop) as hop from g where id <> qid group by 1, 2""")
+select qid, id, round(1 - product(1 - c), 6) as score, min(hop)::bigint as hop from g where id <> qid group by 1, 2""")
 def _(s, d):
     seeds = s.createDataFrame([("c3", "c3"), ("n2", "n2")], "qid string, id string")
     return G.predict_context(X.nodes(s, d), X.edges(s, d), seeds, hops=1).withColumn("score", F.round("score", 6))
@@ -618,7 +618,7 @@ def _tree_sql(src: str, p: str) -> str:
     {level(p + '2', p + 'f', "regexp_replace(path, '/[^/]*$', '')", "string_split(path, '/')[-1]")}, {level(p + '1', p + '2', "regexp_replace(path, '/[^/]*$', '')", "string_split(path, '/')[-1]")}, {level(p + '0', p + '1', "''", "path")}"""
 
 
-@query("merkle_build", f"{X.ctes('docs_v1')}, {_tree_sql('docs_v1', 'a')} select path, kind, 3 as depth, hash from af union all select path, kind, 2, hash from a2 union all select path, kind, 1, hash from a1 union all select path, kind, 0, hash from a0")
+@query("merkle_build", f"{X.ctes('docs_v1')}, {_tree_sql('docs_v1', 'a')} select path, kind, 3::bigint as depth, hash from af union all select path, kind, 2, hash from a2 union all select path, kind, 1, hash from a1 union all select path, kind, 0, hash from a0")
 def _(s, d):
     return _tree(X.docs_v1(s, d))
 
