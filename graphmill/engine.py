@@ -348,12 +348,11 @@ class Engine:
         return deg.join(agg, "id", "left").select("id", "degree", "in_degree", "callers", "refs", "files", C.risk_score(F.col("degree"), F.col("in_degree")).alias("risk"), ((F.col("degree") >= 20) | (F.col("in_degree") >= 12)).alias("god"))
 
     def get_graph_snapshot(self, limit: int = 1_000) -> tuple[DataFrame, DataFrame]:
-        """(nodes with degree and category, edges among them): best-connected first."""
+        """(nodes with degree and category, bound edges among them): best-connected first."""
         e = durable(self.bound_edges().select("src", "dst", "edge_type", "confidence"))
-        n = self.symbols.join(G.degrees(e).select("id", "degree"), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        n = durable(n.orderBy(F.desc("degree"), "id").limit(_clamp(limit, 1, SNAPSHOT_MOST)))
+        n, links = G.connected_first(self.symbols, e, _clamp(limit, 1, SNAPSHOT_MOST))
         n = n.select("id", "name", "kind", "file_path", "degree", C.node_category(F.col("degree"), F.col("kind"), F.col("file_path")).alias("category"))
-        return n, B.within(e, n)
+        return n, e.join(links, ["src", "dst"], "left_semi")
 
     def get_architecture_overview(self) -> dict[str, DataFrame]:
         """languages, layers, kinds, modules, communities, hubs, entrypoints and contracts, each a DataFrame of its own."""

@@ -214,3 +214,40 @@ def trace_edges(steps: DataFrame, known: DataFrame | None = None) -> DataFrame:
     marks = F.array_sort(F.collect_set(F.concat(F.lit("trace:"), F.col("trace_id").cast("string"))))
     out = pairs.groupBy("src", "dst").agg(F.max("trace_id").cast("string").alias("trace_id"), marks.alias("t"))
     return out.select("src", "dst", F.lit("References").alias("edge_type"), F.concat(F.array(F.lit("execution-trace")), "t").alias("tags"), "trace_id")
+
+
+#: Most nodes of a snapshot, links per node and links in all.
+SNAPSHOT_NODES, LINKS_PER_NODE, LINKS = 10_000, 8, 50_000
+
+
+def connected_first(nodes: DataFrame, edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes with degree, links) of a snapshot of at most `limit` nodes.
+
+    Edges are walked by the sum of their ends' degrees, greatest first (ties:
+    src, dst), and both ends are taken while they fit; the rest is filled by
+    degree, ties by id. Links among the nodes follow in the same order, at most
+    min(8 per node, 50,000). The walk streams sorted edges to the driver and
+    stops when the snapshot is full: what it keeps is at most 10,000 ids.
+    """
+    limit = max(1, min(limit, SNAPSHOT_NODES))
+    known = nodes.select("id")
+    e = edges.select("src", "dst").distinct().join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    e = durable(e)
+    deg = durable(degrees(e).select("id", "degree"))
+    ranked = e.join(deg.select(F.col("id").alias("src"), F.col("degree").alias("ds")), "src").join(deg.select(F.col("id").alias("dst"), F.col("degree").alias("dd")), "dst")
+    ranked = durable(ranked.select("src", "dst", (F.col("ds") + F.col("dd")).alias("w")))
+    kept: dict[str, None] = {}
+    for r in ranked.orderBy(F.desc("w"), "src", "dst").toLocalIterator():
+        new = [x for x in dict.fromkeys((r[0], r[1])) if x not in kept]
+        if len(kept) + len(new) <= limit:
+            kept.update(dict.fromkeys(new))
+        if len(kept) >= limit:
+            break
+    spark = nodes.sparkSession
+    chosen = spark.createDataFrame([(k,) for k in kept], "id string")
+    allnodes = nodes.join(deg, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    rest = allnodes.join(chosen, "id", "left_anti").orderBy(F.desc("degree"), "id").limit(limit - len(kept))
+    out = durable(allnodes.join(chosen, "id", "left_semi").unionByName(rest))
+    ids = out.select("id")
+    links = ranked.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return out, links.orderBy(F.desc("w"), "src", "dst").limit(min(LINKS_PER_NODE * limit, LINKS)).select("src", "dst")

@@ -577,6 +577,11 @@ def _(s, d):
     return X.nodes(s, d).select("id").join(G.degrees(X.edges(s, d)).select("id", "degree"), "id").orderBy(F.desc("degree"), "id").limit(1000)
 
 
+@query("graph_snapshot")
+def _(s, d):
+    return G.connected_first(X.nodes(s, d), X.edges(s, d), 1_000)[0].select("id", "kind", "degree")
+
+
 @query("impact_report", f"""{NE}, x as (select src as id, 1 as o, 0 as i from g_edges union all select dst, 0, 1 from g_edges), g as (select id, cast(sum(o) as bigint) as out_degree, cast(sum(i) as bigint) as in_degree from x group by id),
 c as (select dst as id, count(distinct src) filter (where edge_type = 'Calls') as callers, count(distinct src) as refs from g_edges where edge_type in ('Calls', 'References') group by dst)
 select g.id, g.in_degree, g.out_degree, coalesce(c.callers, 0) as callers, coalesce(c.refs, 0) as refs, round(least(100, 18 * ln(1 + in_degree + out_degree) + 8 * sqrt(in_degree)), 6) as risk from g left join c using (id)""")

@@ -146,6 +146,15 @@ def test_pagerank_and_walks(spark):
     assert G.pagerank(n.limit(0), e).count() == 0
 
 
+def test_connected_first(spark):
+    n = spark.createDataFrame([(x,) for x in "ABCDE"], "id string")
+    e = spark.createDataFrame([("A", "B"), ("A", "C"), ("D", "E")], "src string, dst string")
+    nodes, links = G.connected_first(n, e, 3)
+    assert {r.id for r in nodes.collect()} == {"A", "B", "C"} and links.count() == 2
+    nodes, links = G.connected_first(n, e.limit(0), 2)
+    assert {r.id for r in nodes.collect()} == {"A", "B"} and links.count() == 0
+
+
 def test_budget_and_chunks(spark):
     c = spark.createDataFrame([("q", "a", 3.0, 5), ("q", "b", 2.0, 20), ("q", "c", 1.0, 3), ("q", "d", 1.0, None)], "qid string, id string, score double, cost long")
     assert {r.id for r in U.greedy_fill(c, ["qid"], [("score", True)], "id", "cost", 8).collect()} == {"a", "c", "d"}
