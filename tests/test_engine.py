@@ -253,6 +253,19 @@ def test_task_states(spark, tmp_path):
     assert batch == {"a": "completed", "b": "cancelled", "c": "cancelled"}
 
 
+def test_cancel_by_tag(spark):
+    import threading
+    import time
+
+    job = live.Cancellable(spark, "to-cancel")
+    timer = threading.Timer(2, job.cancel)
+    timer.start()
+    began = time.time()
+    with pytest.raises(Exception), job:
+        spark.range(0, 10**13, 1, 2).selectExpr("sum(hash(id) * 1L)").collect()
+    assert time.time() - began < 60 and spark.range(5).count() == 5
+
+
 def test_queue_drops_what_is_no_json(spark, tmp_path):
     p = tmp_path / "q.jsonl"
     p.write_text('{"id": "a", "n": 1}\nnot json\n{"id": "b", "n": 2}\n')
