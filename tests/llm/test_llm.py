@@ -277,6 +277,43 @@ def test_near_leaks_hold_the_exact_ones(spark):
     assert leakage.near_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_near_leaks_against_brute_force(spark):
+    rnd = random.Random(4)
+    names = [f"w{i}" for i in range(60)]
+    held = {i: [rnd.choice(names) for _ in range(rnd.randint(12, 30))] for i in range(12)} | {90: ["la"] * 12, 91: ["la", "li"] * 6}
+    texts = {0: " ".join(f"u{i}" for i in range(30)), 1: None, 2: "la", 3: "li x la"}
+    for n in range(10, 90):
+        w = list(held[rnd.randrange(12)])
+        for _ in range(rnd.randint(0, 5)):
+            k = rnd.randrange(len(w))
+            w[k : k + rnd.randint(0, 1)] = [rnd.choice(["foreign", "strange", *names])]
+        if n % 4 == 0:
+            rnd.shuffle(w)
+        head = [rnd.choice(["x", "y", *names[:20]]) for _ in range(rnd.choice([0, 3, 245, 255, 500]))]
+        texts[n] = " ".join([*head, *w, *head[:5]])
+    want = {}
+    for n, t in texts.items():
+        w = leakage.words(t)
+        spans = [set(w[s : s + 20]) for s in range(max(1, len(w) - 19))]
+        for i, h in held.items():
+            parts = [len(d & s) / len(d) for d in (set(h[k : k + 12]) for k in range(len(h) - 11)) for s in spans]
+            if max(parts) >= 0.8:
+                want[n, i] = max(parts)
+    items = spark.createDataFrame([(i, " ".join(h)) for i, h in held.items()], "item_id long, text string")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = [((r.doc_id, r.item_id), r.share) for r in leakage.near_leaks(docs, items).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == want and len(want) > 50
+
+
+def test_near_leaks_with_foreign_words(spark):
+    item = [f"w{i}" for i in range(12)]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = [(k, " ".join([*item[:k], "foreign", *item[k + 1 :]])) for k in range(12)] + [(20 + k, " ".join([*item[:k], "foreign", *item[k:]])) for k in range(12)]
+    docs += [(50, " ".join([*item[:4], "a", "b", "c", *item[7:]]))]
+    near = {r.doc_id: r.share for r in leakage.near_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert near == {k: 11 / 12 for k in range(12)} | {20 + k: 1.0 for k in range(12)}
+
+
 # --- 10 ---
 
 RESIDUE = [
