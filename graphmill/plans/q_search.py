@@ -82,13 +82,16 @@ def _(s, d):
 
 
 def _legs(s: SparkSession, d: str) -> DataFrame:
-    """Ranks of three legs: raw terms, expanded terms, hashed-vector similarity of the query to documents' own kind."""
+    """Ranks of three legs: raw terms, expanded terms, hash vectors of the query and of every document that has a text."""
     idx = durable(_index(s, d))
     q = _query_set(s, d)
     raw = R.ranked(R.bm25(idx, q, {"body": 1.0}).withColumn("score", F.round("score", 9)), "raw", STAGE)
     wide = q.select("qid", T.expand_terms(T.useful_terms(F.col("terms")), T.EXPANDED_TERMS).alias("terms"))
     exp = R.ranked(R.bm25(idx, wide, {"body": 1.0}).withColumn("score", F.round("score", 9)), "expanded", STAGE)
-    return raw.unionByName(exp)
+    docs = table(s, d, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), V.hash_embedding(F.col("text")).alias("vec"))
+    near = R.vector_topk(docs, q.select("qid", V.hash_embedding(F.col("query")).alias("vec")), STAGE + 5)
+    vec = R.ranked(near.withColumn("score", F.round("score", 9)), "vector", STAGE)
+    return raw.unionByName(exp).unionByName(vec)
 
 
 @query(
@@ -97,6 +100,7 @@ def _legs(s: SparkSession, d: str) -> DataFrame:
     l as (select * from k where rank <= {STAGE} union all select * from v), f as (select qid, id, sum(1.0::double / (60 + rank)) as score from l group by 1, 2), t as (select *, row_number() over (partition by qid order by round(score, 12) desc, id) as rank from f) select qid, id, rank, round(score, 9) as score from t where rank <= {K}""",
 )
 def hybrid_rrf(s, d):
+    """Reciprocal-rank fusion as its SQL has it: one lexical leg and the same hits by id; the three legs are `expanded_fusion`."""
     sc = R.bm25(_index(s, d), _query_set(s, d), {"body": 1.0}).withColumn("score", F.round("score", 9))
     raw = durable(R.ranked(sc, "raw", STAGE))
     by_id = R.top_k(raw.select("qid", "id", (-F.col("id")).alias("score")), STAGE, ["qid"]).select("qid", F.lit("recency").alias("leg"), "id", "rank")
@@ -145,7 +149,11 @@ def _(s, d):
 
 @query("search_pipeline")
 def search_pipeline(s, d):
-    """Two lexical legs, fusion, collapse to paths, overlap reranking, diversity: all queries in one plan."""
+    """Two lexical legs and the vector leg, fusion, overlap reranking, diversity: all queries in one plan.
+
+    Documents have no edges, so graph expansion and evidence boost do not run
+    here; they are in `Engine.search_code`, which works on symbols.
+    """
     fused = R.top_k(R.rrf(_legs(s, d)).withColumn("score", F.round("score", 12)), STAGE, ["qid"]).drop("rank")
     docs = X.doc_paths(s, d).select(F.col("doc_id").alias("id"), F.col("path").alias("file_path"), "text")
     c = fused.join(docs, "id").join(_query_set(s, d).select("qid", "query"), "qid")
