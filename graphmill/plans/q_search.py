@@ -138,7 +138,7 @@ def _(s, d):
 def _(s, d):
     sc = R.bm25(_index(s, d), _query_set(s, d), {"body": 1.0}).withColumn("score", F.round("score", 9))
     top = R.top_k(sc, STAGE, ["qid"]).join(X.doc_paths(s, d).select(F.col("doc_id").alias("id"), F.col("path").alias("file_path"), "text"), "id")
-    c = top.select("qid", "id", "score", F.substring("text", 1, 400).alias("text"), "file_path", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
+    c = top.select("qid", "id", "score", "text", "file_path", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
     return R.mmr(c, K)
 
 
@@ -157,7 +157,7 @@ def search_pipeline(s, d):
     fused = R.top_k(R.rrf(_legs(s, d)).withColumn("score", F.round("score", 12)), STAGE, ["qid"]).drop("rank")
     docs = X.doc_paths(s, d).select(F.col("doc_id").alias("id"), F.col("path").alias("file_path"), "text")
     c = fused.join(docs, "id").join(_query_set(s, d).select("qid", "query"), "qid")
-    c = R.overlap_rerank(c).select("qid", "id", "score", F.substring("text", 1, 400).alias("text"), "file_path", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
+    c = R.overlap_rerank(c).select("qid", "id", "score", "text", "file_path", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
     return R.mmr(c, K)
 
 
