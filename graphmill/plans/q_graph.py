@@ -540,6 +540,12 @@ def _(s, d):
     return c.filter(~F.col("id").startswith("c")).withColumn("component", F.col("component"))
 
 
+@query("components_full")
+def _(s, d):
+    """Every node with an edge of any kind; `components` is the part of it that recursive SQL can check."""
+    return G.components(X.edges(s, d))
+
+
 @query("ranked_expansion_1hop", f"""{NE}, deg as (select id, count(*) as degree from (select src as id from g_edges union all select dst from g_edges) group by id),
 w as (select src as a, dst as b, edge_type, case edge_type when 'Calls' then 0.96 when 'Imports' then 0.86 when 'References' then 0.78 when 'Contains' then 0.74 end as w from g_edges union all select dst, src, edge_type, case edge_type when 'Calls' then 0.96 when 'Imports' then 0.86 when 'References' then 0.78 when 'Contains' then 0.74 end from g_edges),
 k as (select *, row_number() over (partition by a order by w desc, b, edge_type) as n from w where a <> b)
