@@ -150,6 +150,7 @@ def _pack_task(pdf: pd.DataFrame) -> pd.DataFrame:
         start = end
     out = pdf[["grp", "item", "score", "tokens", "capacity", "txt"]].copy()
     out["container"], out["closed"] = names, closed
+    out["txt"] = out["txt"].where(~out["closed"], None)  # only the next round reads it
     return out
 
 

@@ -31,11 +31,15 @@ def p1_pack_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_pack_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """All chunks in containers of CHUNK_BUDGET tokens; token counts are taken anew from the texts, for stored ones are stale."""
+    """All chunks in containers of CHUNK_BUDGET tokens; token counts are taken anew from the texts, for stored ones are stale.
+
+    Retrieval is by the terms of the whole text, file and symbol name.
+    """
     chunks = table(spark, d, "chunks").select("id", "text").filter("id is not null").dropDuplicates(["id"])
+    name = F.regexp_replace(F.regexp_extract("id", r"([^/]+)$", 1), r":L\d+C\d+$", "")  # places tell nothing of the content
     ready = chunks.select(
         F.lit("chunks").alias("grp"), F.col("id").alias("item"), splitting.count_tokens(F.col("text")).alias("tokens"),
-        F.lit(None).cast("double").alias("score"), F.lit(CHUNK_BUDGET).alias("capacity"), F.regexp_extract("id", r"([^/]+)$", 1).alias("txt"),
+        F.lit(None).cast("double").alias("score"), F.lit(CHUNK_BUDGET).alias("capacity"), F.concat_ws(" ", name, "text").alias("txt"),
     )
     out = packing.fill_containers(ready)
     return out.select("container", F.col("item").alias("chunk_id"), F.col("tokens").alias("tokens_placed"), F.col("capacity").alias("token_budget"))

@@ -63,6 +63,19 @@ def test_fill_containers_keeps_all_tokens(spark):
     assert packing.fill_containers(df.limit(0)).count() == 0
 
 
+def test_chunks_are_packed_by_their_text(spark, tmp_path):
+    topics = {"a": "alpha beta gamma", "b": "delta epsilon zeta"}
+    rows = []
+    for t, words in topics.items():
+        for k in range(4):
+            rows.append((f"r/src/f{t}{'pqrs'[k]}.rs#{t}{'wxyz'[k]}:L{k + 1}C1", " ".join([words] * 525)))  # 1,575 words are 2,048 tokens, half a container
+    spark.createDataFrame(rows, "id string, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    boxes = defaultdict(set)
+    for r in queries.p1_pack_chunks(spark, str(tmp_path)).collect():
+        boxes[r.container].add(r.chunk_id.split("#")[1][0])
+    assert len(boxes) == 4 and all(len(b) == 1 for b in boxes.values())
+
+
 # --- 2 ---
 
 TRIVIAL = [
