@@ -94,7 +94,7 @@ def leading_comment(text: str) -> list[str]:
     """The lines of the comment block with which a text starts, without marks; doc comments of a declaration do not count."""
     out, inside = [], None
     lines = text.lstrip("﻿").splitlines()
-    for i, line in enumerate(lines[:60]):
+    for i, line in enumerate(lines):
         s = line.strip()
         if inside:
             out.append(_MARK.sub("", _MARK.sub("", line)).strip())

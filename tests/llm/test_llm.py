@@ -185,6 +185,13 @@ def test_file_evidence():
     assert label("a/x.js", "!function(e,r){" + "for(;e<r;)e++;var a=r.b(1);a&&e(r);" * 20 + "}(this);") == ["minified"]
 
 
+def test_note_after_a_long_leading_comment():
+    licence = "".join(f"// Line {k} of the licence.\n" for k in range(70))
+    like, _ = handwritten.file_evidence("a/x.go", licence + "// Code generated by t v2. DO NOT EDIT.\npackage a\n")
+    assert [n for n, v in zip(handwritten.LABELS, like) if v > 100] == ["generated"]
+    assert "Line 69 of the licence." in handwritten.leading_comment(licence + "package a\n// no more\n") and "no more" not in handwritten.leading_comment(licence + "package a\n// no more\n")
+
+
 def test_folders_and_copies(spark):
     code = "import q\ndef work(alpha, beta):\n    gamma = alpha.find(beta)\n    return gamma.close(alpha)\n" * 3
     rows = [
