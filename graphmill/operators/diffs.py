@@ -156,7 +156,11 @@ class Diff:
 
 
 def diff_pairs(pairs: DataFrame, key: str, old: str, new: str, language: str | None = None) -> DataFrame:
-    """(key, distance, op, label, old_text, new_text) of each change between two text columns; null texts count as empty."""
+    """(key, distance, op, label, old_text, new_text, bounded, truncated) of each change between two text columns; null texts count as empty.
+
+    bounded tells that some alignment was by key, truncated that changes beyond
+    MAX_CHANGES are missing; both are of the pair, on each of its rows.
+    """
     kind = dict(pairs.dtypes)[key]
     lang = F.col(language) if language else F.lit("text")
 
@@ -165,8 +169,8 @@ def diff_pairs(pairs: DataFrame, key: str, old: str, new: str, language: str | N
             rows = []
             for k, a, c, g in zip(b[key], b["a"], b["b"], b["g"]):
                 d = Diff(a or "", c or "", g or "text")
-                rows += [(k, d.distance, *x) for x in d.changes]
-            yield pd.DataFrame(rows, columns=[key, "distance", "op", "label", "old_text", "new_text"])
+                rows += [(k, d.distance, *x, d.bounded, d.truncated) for x in d.changes]
+            yield pd.DataFrame(rows, columns=[key, "distance", "op", "label", "old_text", "new_text", "bounded", "truncated"])
 
     src = pairs.select(key, F.col(old).alias("a"), F.col(new).alias("b"), lang.alias("g"))
-    return src.mapInPandas(run, f"{key} {kind}, distance double, op string, label string, old_text string, new_text string")
+    return src.mapInPandas(run, f"{key} {kind}, distance double, op string, label string, old_text string, new_text string, bounded boolean, truncated boolean")

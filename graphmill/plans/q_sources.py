@@ -42,7 +42,7 @@ def _(s, d):
 @query("tree_diff")
 def _(s, d):
     a, b = X.docs_v1(s, d), X.docs_v2(s, d).withColumnRenamed("text", "new_text")
-    return diff_pairs(a.join(b, "doc_id").filter("text <> new_text"), "doc_id", "text", "new_text").select("doc_id", "distance", "op", "label")
+    return diff_pairs(a.join(b, "doc_id").filter("text <> new_text"), "doc_id", "text", "new_text").select("doc_id", "distance", "op", "label", "bounded", "truncated")
 
 
 @query(
