@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and defined edge cases."""
 
 import base64
+import os
 import random
 import re
 from collections import defaultdict
@@ -355,6 +356,60 @@ def test_residue_and_what_only_shows_it(spark):
     assert residue.residue(docs.limit(0)).count() == 0
 
 
+OWN_RESIDUE = [
+    "405 Method Not Allowed", "418 I'm a teapot", "Este sitio requiere JavaScript para funcionar.", "Please allow scripts in your browser settings to view the reader.", "Our servers are overloaded right now. Come back in an hour.",
+    "Dear [Name], thank you for your interest in [Company].", "This content can't be displayed because JavaScript is off.", "Access to this resource is restricted. Log in to proceed.", "We are performing scheduled maintenance, please try again in a few hours.",
+    "Diese Seite ist derzeit nicht erreichbar. Bitte versuchen Sie es später noch einmal.", "Le serveur est surchargé. Réessayez dans quelques minutes.", "El enlace ha caducado.", "Add your description here.", "text text text text text text text",
+    "Sorry.\nThis page\nis\nno longer available.\nIt was moved.\nPlease\ntry again\nlater.",
+]
+OWN_CLEAN = [
+    "In Jinja you write {{ customer_name }} to print a value.", "The parser handles 404 responses by retrying.", "JavaScript is the language of the client; scripts live in tools/.", "We require scripts to be idempotent.", "The session expired handling was moved to auth.",
+    "Fix: show a message when the server is down for maintenance", "Errors are logged and the request is retried later.", "The link to the page was moved to the footer.", "Please open an issue if the build does not work.", "It took 503 ms to rebuild 404 nodes.",
+]
+
+
+def _found(texts, items):
+    """Places of the texts with residue, as `residue.residue` finds them."""
+    scan, freq = residue.Scan(frozenset(t for e in items for t in e.terms)), defaultdict(int)
+    terms = [scan.terms(t) if t else set() for t in texts]
+    for s in terms:
+        for t in s:
+            freq[t] += 1
+    index = residue.Index(items, freq, sum(1 for t in texts if t and t.strip()))
+    return {i for i, t in enumerate(texts) if residue.find(t, index, scan)}, index
+
+
+def _documents(sf):
+    big = sf.replace("sf0.001", "sf0.01")
+    return [r[0] for r in compare.connect(big if os.path.isdir(big) else sf).execute("select text from documents order by doc_id").fetchall()]
+
+
+def test_residue_in_other_words(sf):
+    texts = _documents(sf)
+    own = OWN_RESIDUE + OWN_CLEAN
+    found, index = _found(texts + own, residue.exemplars())
+    assert [own[i - len(texts)] for i in sorted(found) if i >= len(texts)] == OWN_RESIDUE
+    for i, e in enumerate(index.items):  # no exemplar is out of reach of its key terms
+        out = sum(index.weight[t] for t in e.terms if i not in index.postings.get(t, []))
+        assert e.contained == 0 or out < e.contained * index.mass[i]
+
+
+def test_residue_with_half_of_the_exemplars(sf):
+    texts = _documents(sf)
+    items = residue.exemplars()
+    whole, _ = _found(texts, items)
+    for odd in (0, 1):
+        half, _ = _found(texts, [e for i, e in enumerate(items) if i % 2 == odd or e.label in residue.LEGAL])
+        assert len(half & whole) >= 0.9 * len(whole)
+
+
+def test_residue_scan_holds_all_terms_of_passages(sf):
+    scan = residue.Scan(frozenset(t for e in residue.exemplars() for t in e.terms))
+    for t in [*_documents(sf), *RESIDUE, *OWN_RESIDUE, *OWN_CLEAN]:
+        if t:
+            assert {x for par in residue.paragraphs(t) for s in residue.passages(par) for x in residue.terms(s)} & scan.vocabulary <= scan.terms(t), t
+
+
 def test_split_sql(spark, sf):
     got, want = compare.bags(queries.queries()["p6_found"](spark, sf), compare.connect(sf), queries.oracle_sql()["p6_found"])
     assert got == want
