@@ -205,6 +205,22 @@ def test_folders_and_copies(spark):
     assert handwritten.label_files(df.limit(0)).count() == 0
 
 
+def test_propagation_decides_what_files_alone_do_not(spark):
+    """Vague remarks and plain files follow nearly unanimous siblings, parents and copies; the same files elsewhere stay hand-written."""
+    plain = "import q\n\n\ndef work_{0}(alpha, beta):\n    gamma = alpha.find_{0}(beta)\n    return gamma.close(alpha, {0})\n\n\nclass Keeper{0}:\n    def visit(self, node):\n        return self.store.get(node)\n\n    def close(self):\n        self.store.flush(self.pending)\n        self.pending = None\n"
+    clear, vague = "# Code generated by tool v2. DO NOT EDIT.\n", "# The generated parts of the interface.\n"
+    rows = [(f"r/api/f{k}.py", clear + plain.format(k)) for k in range(12)] + [("r/api/vague.py", vague + plain.format(50)), ("r/api/bare.py", None), ("r/api/plain.py", plain.format(51))]
+    rows += [(f"r/src/f{k}.py", plain.format(100 + k)) for k in range(12)] + [("r/src/vague.py", vague + plain.format(52)), ("r/src/bare.py", None), ("r/src/clear.py", clear + plain.format(53))]
+    rows += [(f"r/lib/f{k}.py", plain.format(300 + k)) for k in range(12)] + [(f"r/net/f{k}.py", plain.format(400 + k)) for k in range(12)]
+    rows += [(f"r/vendor/x/f{k}.py", plain.format(200 + k)) for k in range(40)] + [("r/src/copy.py", plain.format(207)), ("r/src/twice.py", plain.format(100))]
+    got = {r.path: r for r in handwritten.label_files(spark.createDataFrame(rows, "path string, content string")).collect()}
+    own = {p: handwritten.LABELS[max(range(5), key=lambda i: (like[i] * handwritten.FOLDER_FILE[0][i], -i))] for p, t in rows for like in [handwritten.file_evidence(p, t)[0]]}
+    true = {p: "generated" if "/api/" in p or p == "r/src/clear.py" else "vendored" if "/vendor/" in p or p == "r/src/copy.py" else "handwritten" for p, _ in rows}
+    assert {p: r.label for p, r in got.items()} == true
+    assert sum(own[p] != true[p] for p in true) == 44 and all(own[p] == "handwritten" for p in true if own[p] != true[p])
+    assert [p for p, r in got.items() if r.copy_of_vendored] == ["r/src/copy.py"] and all(0.5 < r.belief <= 1 for r in got.values())
+
+
 # --- 6 ---
 
 
