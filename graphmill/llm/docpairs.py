@@ -1,9 +1,11 @@
 """Functions paired with their documentation.
 
-An island grammar per language family parses only documentation comments,
-annotations, signatures and balanced bodies; everything else is water and is
-skipped. Pairs join the islands of the current files with the current symbols
-whose documentation says something.
+An island grammar per language parses only documentation comments, annotations,
+signatures and balanced bodies; everything else is water and is skipped. Pairs
+join the islands of the current files with the current symbols: the grammar
+tells whether a symbol of unknown kind is a function, and the documentation that
+it parses above or inside the island is what must say something. Where the file
+is gone or holds other documentation, the symbol's own is parsed instead.
 """
 
 from __future__ import annotations
@@ -11,9 +13,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Lines of a file whose symbols are handled together.
@@ -170,17 +174,61 @@ def describe(doc: str | None, name: str | None = None) -> str | None:
 
 # --- island grammars ---------------------------------------------------------------------
 
-_BRACE_TOKEN = re.compile(
-    r"(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.[^'\n]*|[^'\\\n])'|`(?:\\.|[^`\\])*`?|(?P<brace>[{}])", re.S
-)
-_BRACE_DEF = re.compile(
-    r"^[ \t]*(?:(?:export|default|public|private|protected|internal|static|final|abstract|async|inline|virtual|override|extern|unsafe|const|synchronized|pub(?:\([^)]*\))?)\s+)*"
-    r"(?:fn\s+(?P<rust>\w+)|func\s+(?:\([^)]*\)\s*)?(?P<go>\w+)|function\s*\*?\s*(?P<js>[\w$]+)|"
-    r"(?!(?:if|for|while|switch|catch|return|else|match|do|try|new|throw|with)\b)(?:[\w$<>\[\],*&:?]+[ \t*&]+)*(?P<plain>[\w$]+)\s*\([^;{}]*\)\s*(?:[\w$<>\[\],.:|&? -]*?)\{)"
+@dataclass(frozen=True)
+class Grammar:
+    """The islands of one brace language: how a function begins, which lines above are annotations and which comments documentation.
+
+    begins: beginnings of a declaration line up to its name, which must be followed by a parameter list, or by `=` and a function.
+    """
+
+    begins: str
+    annotation: str = r"@\w"
+    documentation: tuple[str, ...] = ("/**", "/*")
+    raw_string: str = ""
+
+    @property
+    @cache
+    def definition(self) -> re.Pattern:
+        return re.compile(rf"^[ \t]*(?:{self.begins})", re.S)
+
+    @property
+    @cache
+    def token(self) -> re.Pattern:
+        """What hides braces: comments and strings; and the braces themselves."""
+        raw = f"|{self.raw_string}" if self.raw_string else ""
+        return re.compile(rf"(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z)){raw}|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.[^'\n]*|[^'\\\n])'|(?P<brace>[{{}}])", re.S)
+
+    @property
+    @cache
+    def notes(self) -> re.Pattern:
+        return re.compile(rf"^\s*(?:{self.annotation})")
+
+    def defines(self, signature: str) -> str | None:
+        """The name of the function that a signature declares, None where it declares something else."""
+        m = self.definition.match(signature.strip() + ("" if "{" in signature or "=>" in signature else " {"))
+        return next((g for g in m.groups() if g), None) if m else None
+
+
+_NOT_NAMES = r"(?!(?:if|for|while|switch|catch|return|else|match|do|try|new|throw|with|class|struct|enum|interface|namespace|union|record|typedef|sizeof|import|package|use|await|function)\b)"
+_TYPED = rf"(?:{_NOT_NAMES}[\w$<>\[\],.*&:?]+[ \t*&]+)*?{_NOT_NAMES}([\w$~]+)\s*\([^;{{}}]*\)[^;{{}}=]*\{{"
+_JS = (
+    r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([\w$]+)\s*[(<]|"
+    r"(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>)|"
+    rf"(?:(?:public|private|protected|static|async|abstract|override|readonly|get|set|\*)\s+)*{_NOT_NAMES}(?:#)?([\w$]+)\s*(?:<[^>]*>)?\s*\([^;{{}}]*\)\s*(?::[^{{}};]*)?\{{"
 )
+#: The grammars by file extension; Python has its own by indentation.
+GRAMMARS = {
+    "rs": Grammar(r"(?:(?:pub(?:\([^)]*\))?|async|const|unsafe|default|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(\w+)\s*[(<]", r"#!?\[", ("///", "//!", "/**", "/*!"), r"r(?P<hashes>#*)\".*?\"(?P=hashes)"),
+    "go": Grammar(r"func\s+(?:\([^)]*\)\s*)?(\w+)\s*[(\[]", r"//go:", ("//", "/*"), r"`[^`]*`"),
+    "java": Grammar(rf"(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^>]*>\s*)?{_TYPED}", r"@\w", ("/**",)),
+    "js": Grammar(_JS, raw_string=r"`(?:\\.|[^`\\])*`"),
+    "ts": Grammar(_JS, raw_string=r"`(?:\\.|[^`\\])*`"),
+    "c": Grammar(rf"(?:(?:static|inline|extern|const|unsigned|signed|struct|enum|virtual|constexpr)\s+)*{_TYPED}", r"\[\[|__attribute__", ("/**", "/*", "//"), r"R\"\(.*?\)\""),
+}
+_SAME = {"jsx": "js", "mjs": "js", "cjs": "js", "tsx": "ts", "mts": "ts", "cts": "ts", "h": "c", "cc": "c", "cpp": "c", "cxx": "c", "hpp": "c", "hh": "c", "cs": "java", "kt": "java", "scala": "java", "swift": "java", "dart": "java", "php": "js"}
+_BY_NAME = {"rust": "rs", "go": "go", "java": "java", "javascript": "js", "typescript": "ts", "c": "c", "c++": "c", "cpp": "c", "python": "py"}
 _PY_DEF = re.compile(r"^(?P<indent>[ \t]*)(?:async[ \t]+)?def[ \t]+(?P<name>\w+)")
 _PY_TRIPLE = re.compile(r"^\s*[rRuUbB]{0,2}(\"\"\"|''')")
-_ANNOTATION = re.compile(r"^\s*(?:@\w|#\[|\[\w)")
 
 
 def _left_open(line: str) -> str | None:
@@ -246,7 +294,7 @@ def _python_islands(lines: list[str]) -> Iterator[dict]:
         i = j + 1  # nested functions are islands as well
 
 
-def _brace_islands(text: str, lines: list[str]) -> Iterator[dict]:
+def _brace_islands(text: str, lines: list[str], grammar: Grammar) -> Iterator[dict]:
     starts = [0]
     for line in lines:
         starts.append(starts[-1] + len(line) + 1)
@@ -256,7 +304,7 @@ def _brace_islands(text: str, lines: list[str]) -> Iterator[dict]:
     stack: list[int] = []
     comments: dict[int, tuple[int, str]] = {}  # last line -> first line, text
     water: set[int] = set()
-    for m in _BRACE_TOKEN.finditer(text):
+    for m in grammar.token.finditer(text):
         kind = m.lastgroup
         if kind == "brace":
             if m.group() == "{":
@@ -274,8 +322,12 @@ def _brace_islands(text: str, lines: list[str]) -> Iterator[dict]:
     for i, line in enumerate(lines, 1):
         if i in water or "(" not in line:
             continue
-        m = _BRACE_DEF.match(line)
-        if not m:
+        m = grammar.definition.match(line)
+        if not m and not line.rstrip().endswith((";", "}", ":")):  # a signature over several lines
+            brace = text.find("{", starts[i - 1])
+            m = grammar.definition.match(text[starts[i - 1] : brace + 1]) if 0 <= brace and line.count("(") > line.count(")") else None
+        name = next((g for g in m.groups() if g), None) if m else None
+        if name is None:
             continue
         k = bisect_right(opens, starts[i - 1] - 1)
         if k >= len(opens):
@@ -286,13 +338,15 @@ def _brace_islands(text: str, lines: list[str]) -> Iterator[dict]:
         end = close.get(opens[k], len(text) - 1)
         top = i - 1
         notes = []
-        while top >= 1 and top not in water and _ANNOTATION.match(lines[top - 1]):
+        while top >= 1 and top not in water and grammar.notes.match(lines[top - 1]):
             notes.insert(0, lines[top - 1])
             top -= 1
         doc, gap = [], 0
         while top >= 1:
             if top in comments:
                 a, c = comments[top]
+                if not c.startswith(grammar.documentation) or grammar.notes.match(c):
+                    break
                 if doc and c.startswith("//") != doc[0].startswith("//"):
                     break
                 doc.insert(0, c)
@@ -303,82 +357,98 @@ def _brace_islands(text: str, lines: list[str]) -> Iterator[dict]:
                 top, gap = top - 1, gap + 1
             else:
                 break
-        name = m.group("rust") or m.group("go") or m.group("js") or m.group("plain")
         yield {"line": i, "end_line": line_of(end), "name": name, "doc": "\n".join(doc) or None, "annotations": "\n".join(notes), "signature": text[starts[i - 1] : opens[k] + 1].strip()}
 
 
-def islands(text: str | None, path: str) -> list[dict]:
+def grammar_of(path: str | None, language: str | None = None) -> str:
+    """The name of the grammar by the path's extension, else by the language; "" where neither tells."""
+    ext = path.rsplit(".", 1)[-1].lower() if path and "." in path.rsplit("/", 1)[-1] else ""
+    if ext in ("py", "pyi"):
+        return "py"
+    name = _SAME.get(ext, ext)
+    return name if name in GRAMMARS else _BY_NAME.get((language or "").strip().lower(), "")
+
+
+def declares(signature: str | None, grammar: str) -> bool:
+    """Whether a signature declares a function or method by the grammar, or by any one where it is unknown."""
+    if not signature or not signature.strip():
+        return False
+    if grammar == "py":
+        return bool(_PY_DEF.match(signature.strip()))
+    known = [GRAMMARS[grammar]] if grammar else list(GRAMMARS.values())
+    return any(g.defines(signature) for g in known) or (not grammar and bool(_PY_DEF.match(signature.strip())))
+
+
+def islands(text: str | None, path: str, language: str | None = None) -> list[dict]:
     """The functions of a source text: line, end_line (from 1), name, doc, annotations, signature.
 
-    The grammar follows the path's extension: indentation for .py and .pyi,
-    balanced braces for the rest. Null and empty texts have none. Braces in
-    strings and comments do not count; a body that never closes ends the text.
+    The grammar follows the path's extension, else the language; a text of
+    neither has no islands, nor has a null or empty one. Braces in strings and
+    comments do not count; a body that never closes ends the text.
     """
-    if not text:
+    grammar = grammar_of(path, language)
+    if not text or not grammar:
         return []
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     lines = text.split("\n")
-    if path.lower().endswith((".py", ".pyi")):
-        return list(_python_islands(lines))
-    return list(_brace_islands(text, lines))
+    return list(_python_islands(lines) if grammar == "py" else _brace_islands(text, lines, GRAMMARS[grammar]))
 
 
 # --- operators ---------------------------------------------------------------------------
 
 
-def is_function(kind: Column, signature: Column) -> Column:
-    """Whether a symbol is a function or method by its kind (case and blanks aside) or, where that is null or blank, by its signature."""
-    k = F.lower(F.trim(kind))
-    sig = F.trim(signature)
-    other = sig.rlike(
-        r"^(?:(?:export|default|public|private|protected|internal|static|final|abstract|sealed|pub(?:\([^)]*\))?)\s+)*"
-        r"(?:class|struct|enum|interface|trait|type|namespace|mod|module|impl|union|record|package|import|use)\b"
-    )
-    value = sig.rlike(r"^(?:export\s+)?(?:const|let|var|static)\b") & ~sig.rlike(r"=>|=\s*(?:async\s+)?function\b")
-    by_sig = sig.contains("(") & ~other & ~value
-    return F.coalesce(F.when(k.isNull() | (k == ""), by_sig).otherwise(k.isin(*FUNCTION_KINDS)), F.lit(False))
-
-
-_DOCUMENTED = "id string, path string, line long, end_line long, name string, kind string, language string, signature string, description string"
-
-
-def documented(symbols: DataFrame) -> DataFrame:
-    """Symbols (one current row per id) that are living functions with documentation that says something."""
-    mine = symbols.filter("deleted_at is null").filter(is_function(F.col("kind"), F.col("signature"))).filter(F.trim("docstring") != "")
-    cols = ["id", F.col("file_path").alias("path"), F.col("start_line").alias("line"), "end_line", "name", "kind", "language", "signature", "docstring"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b.copy()
-            b["description"] = [describe(d, n) for d, n in zip(b.pop("docstring"), b["name"])]
-            yield b[b["description"].notna()]
-
-    return mine.select(*cols).mapInPandas(run, _DOCUMENTED)
-
-
 _PAIR = (
     "id string, path string, line long, end_line long, name string, kind string, language string, signature string, "
     "annotations string, description string, code string, balanced boolean"
 )
+_WORDS = re.compile(r"\w+")
 
 
-def doc_pairs(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """Code-description pairs, one row per documented symbol.
+def _pair(s, path: str | None, lines: list[str], land_at: dict) -> tuple | None:
+    """The pair of one symbol, None where the grammar finds no function or its documentation says nothing."""
+    grammar = grammar_of(path, s["language"])
+    here = land_at.get(s["line"], [])
+    f = next((x for x in here if x["name"] == s["name"]), here[0] if here else None)
+    own = f is not None and f["name"] == s["name"]
+    if not (s["kind"] or "").strip() and not own and not declares(s["signature"], grammar):
+        return None
+    parsed = f["doc"] if own and f["doc"] else None
+    same = parsed is not None and _WORDS.findall(parsed) == _WORDS.findall(s["docstring"])
+    description = describe(parsed if same else s["docstring"], s["name"])
+    if description is None:
+        return None
+    end = s["end_line"] or (f["end_line"] if f else None)
+    code = balanced = None
+    if s["line"] and end and 1 <= s["line"] <= end and s["line"] <= len(lines):
+        code = "\n".join(lines[int(s["line"]) - 1 : int(end)])
+        balanced = f is not None and f["end_line"] == end
+    return s["id"], path or None, s["line"], end, s["name"], s["kind"], s["language"], f["signature"] if own else s["signature"], f["annotations"] if f else None, description, code, balanced
+
 
-    symbols: one current row per id; files: one current row per path. code holds
-    the file's lines from the symbol's first to its last. The island at the first
-    line gives annotations and the whole signature; balanced tells whether the
+def doc_pairs(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Code-description pairs, one row per living function or method whose documentation says something.
+
+    symbols: one current row per id; files: one current row per path. The kind
+    tells a function (case and blanks aside); where it is null or blank, the
+    island at the symbol's line or the grammar of its signature does. The
+    description is the documentation that the island's grammar parses where it
+    has the words of the stored one, else the stored one. code holds the file's
+    lines from the symbol's first to its last; balanced tells whether the
     island's body ends where the symbol does. Where the file is gone, has no
     content or ends before the symbol, code and balanced are null and the
     description still comes out. A symbol without an end takes the island's.
 
     Each file's text meets its symbols once, all symbols of BLOCK_LINES lines
-    together, and is parsed once for them.
+    together, and is parsed once for them; symbols without path or line meet none.
     """
-    found = documented(symbols)
-    fields = ["id", "line", "end_line", "name", "kind", "language", "signature", "description"]
-    block = F.coalesce(F.floor(F.col("line") / BLOCK_LINES), F.lit(0)).alias("block")
-    spans = found.groupBy(F.coalesce("path", F.lit("")).alias("path"), block).agg(F.collect_list(F.struct(*fields)).alias("spans"))
+    kind = F.lower(F.trim("kind"))
+    mine = symbols.filter("deleted_at is null").filter(F.trim("docstring") != "").filter(kind.isNull() | kind.isin("", *FUNCTION_KINDS))
+    cols = ["id", F.col("file_path").alias("path"), F.col("start_line").alias("line"), "end_line", "name", "kind", "language", "signature", "docstring"]
+    mine = mine.select(*cols)
+    fields = ["id", "line", "end_line", "name", "kind", "language", "signature", "docstring"]
+    placed = F.col("path").isNotNull() & F.col("line").isNotNull()
+    lost = mine.filter(~placed).select("path", F.array(F.struct(*fields)).alias("spans"), F.lit(None).cast("string").alias("content"))
+    spans = mine.filter(placed).groupBy("path", F.floor(F.col("line") / BLOCK_LINES).alias("block")).agg(F.collect_list(F.struct(*fields)).alias("spans"))
     land = files.filter(F.col("path").isNotNull()).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -387,19 +457,9 @@ def doc_pairs(symbols: DataFrame, files: DataFrame) -> DataFrame:
             for path, spans_, text in zip(b.path, b.spans, b.content):
                 lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if text else []
                 land_at: dict = {}
-                for f in islands(text, path):
+                for f in islands(text, path, spans_[0]["language"]):
                     land_at.setdefault(f["line"], []).append(f)
-                for s in spans_:
-                    here = land_at.get(s["line"], [])
-                    f = next((x for x in here if x["name"] == s["name"]), here[0] if here else None)
-                    end = s["end_line"] or (f["end_line"] if f else None)
-                    code = balanced = None
-                    if s["line"] and end and 1 <= s["line"] <= end and s["line"] <= len(lines):
-                        code = "\n".join(lines[int(s["line"]) - 1 : int(end)])
-                        balanced = f is not None and f["end_line"] == end
-                    sig = f["signature"] if f and f["name"] == s["name"] else s["signature"]
-                    rows.append((s["id"], path or None, s["line"], end, s["name"], s["kind"], s["language"], sig, f["annotations"] if f else None, s["description"], code, balanced))
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in _PAIR.split(", ")], dtype=object)
-            yield out
-
-    return spans.join(land, "path", "left").select("path", "spans", "content").mapInPandas(run, _PAIR)
+                rows += [r for r in (_pair(s, path, lines, land_at) for s in spans_) if r]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PAIR.split(", ")], dtype=object)
+
+    return spans.join(land, "path", "left").select("path", "spans", "content").unionByName(lost).mapInPandas(run, _PAIR)

@@ -150,10 +150,41 @@ def test_islands():
     assert docpairs.islands(None, "a.py") == [] == docpairs.islands("", "a.rs")
 
 
-def test_is_function(spark):
-    rows = [("Method ", None, True), (" FUNCTION", None, True), ("class", "f()", False), (None, "pub fn a(b: C) -> D {", True), (None, "public class A(B) {", False), ("", "def f():", True), (None, None, False), (None, "type X struct {", False), ("Getter", None, True)]
-    df = spark.createDataFrame(rows, "k string, s string, want boolean").withColumn("got", docpairs.is_function(F.col("k"), F.col("s")))
-    assert [r for r in df.collect() if r.got != r.want] == []
+@pytest.mark.parametrize(
+    ("grammar", "yes", "no"),
+    [
+        ("py", ["def f():", "async def f(x) -> int:"], ["class A(B):", "X = f(1)"]),
+        ("rs", ["pub(crate) fn a(b: C) -> D {", "pub async unsafe fn a<T>(b: T)"], ["pub struct A {", "impl A {", "use a::b(c);"]),
+        ("java", ["public static <T> List<T> a(B b) throws C {", "protected Scope resolve() {", "Foo(int a) {"], ["public class A(B) {", "private int a = f(1);", "interface A {"]),
+        ("go", ["func (r *T) Name(a int) error {", "func name() {"], ["type X struct {", "var a = f(1)"]),
+        ("js", ["export default async function f(a) {", "get size() {", "const f = (a) => {", "constructor(a, b) {"], ["const a = require(\"./a\");", "class A extends B {", "if (a) {"]),
+        ("ts", ["private load(a: B): C {", "export const f = async (a: B): Promise<C> => {"], ["let a: B = f(1);", "interface A {"]),
+        ("c", ["static int f(struct X *a) {", "void g(void)"], ["struct A {", "typedef int (*f)(int);", "return f(a);"]),
+        ("", ["def f():", "fn a() {"], ["class A {", None, " "]),
+    ],
+)
+def test_signatures_by_grammar(grammar, yes, no):
+    assert [s for s in yes if not docpairs.declares(s, grammar)] == [] and [s for s in no if docpairs.declares(s, grammar)] == []
+
+
+def test_grammar_decides(sf, monkeypatch):
+    """Without its grammars the operator finds less: they tell the functions among symbols of unknown kind."""
+    con = compare.connect(sf.replace("sf0.001", "sf0.01"))
+    rel = con.execute("select * from symbols where nullif(trim(kind), '') is null and deleted_at is null and trim(docstring) <> ''")
+    names = [d[0] for d in rel.description]
+    rows = [dict(zip(names, r)) | {"line": None} for r in rel.fetchall()]
+    found = lambda: {s["id"] for s in rows if docpairs._pair(s, s["file_path"], [], {})}
+    whole = found()
+    monkeypatch.setattr(docpairs, "declares", lambda *_: False)
+    assert whole and not found()
+
+
+def test_documentation_by_grammar():
+    rs = docpairs.islands("// plain\nfn a() {}\n\n/// Told.\n#[inline]\nfn b() {}\n", "x.rs")
+    assert [(f["name"], f["doc"], f["annotations"]) for f in rs] == [("a", None, ""), ("b", "/// Told.", "#[inline]")]
+    go = docpairs.islands("// Told.\n//go:noinline\nfunc a(\n\tb int,\n) error {\n\ts := `}`\n}\n", "x.go")
+    assert [(f["name"], f["doc"], f["end_line"]) for f in go] == [("a", "// Told.", 7)]
+    assert docpairs.islands("int a() {}", "x.unknown") == [] and docpairs.islands("int a() {}", "x", "C")[0]["name"] == "a"
 
 
 def test_pairs_keep_symbols_without_code(spark):
