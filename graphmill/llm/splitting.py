@@ -1,12 +1,13 @@
 """Cut oversized texts into pieces under a token limit, at natural boundaries, with overlap.
 
 Tokens are 13 * words / 10 rounded up, words being runs between Unicode white
-space. Every word of a text is a possible start. Each start has one farthest
-legal successor: the piece ends at the best natural boundary within reach, and
-the next piece starts the overlap before that end. The successor table of a
-text is squared again and again (pointer doubling); after round k the starts
-within 2^k cuts of the first are known, so all greedy cuts of a text come out
-of log2(pieces) table look-ups instead of a walk from cut to cut.
+space. A piece ends at the best natural boundary within reach of its start, and
+the next one starts the overlap before that end. One narrow pass joins every
+boundary of a text at which some piece may start to its farthest legal
+successor, one row each: (id, node, next). The table is then squared by joins
+with itself, all texts at once: after round k the boundaries within 2^k cuts of
+a text's start are known, so the greedy cuts of all texts come out of
+log2(most pieces) joins, however long a text is.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from graphmill.session import durable, release
 
 #: Fixed value: the characters with the Unicode property White_Space.
 WHITE_SPACE = "\u0009\u000a\u000b\u000c\u000d\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -64,8 +67,12 @@ def _grades(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return grade
 
 
-def cut(text: str, max_tokens: int, overlap_tokens: int) -> list[tuple[int, int, int]]:
-    """(start, end, words) of each piece in characters of `text`, in order; [] for a blank text.
+def successors(text: str, max_tokens: int, overlap_tokens: int) -> list[tuple[int, int, int, int, int]]:
+    """(node, next, start, end, words) of each boundary at which a piece may start, in order; [] for a blank text.
+
+    node and next count words; next is -1 where the piece reaches the end. start
+    and end are the piece's characters. Node 0 is the first; the others are what
+    some start leads to, so that every next is a node as well.
 
     A piece has at most max_tokens tokens, at least one word, and ends at the
     last blank line within reach if it leaves the piece at least half full,
@@ -93,16 +100,9 @@ def cut(text: str, max_tokens: int, overlap_tokens: int) -> list[tuple[int, int,
         fits = ~chosen & (last >= least)
         stop[fits] = last[fits]
         chosen |= fits
-    after = np.where(stop >= n, n, np.maximum(stop - back, index + 1))
-    # squaring: hit[i] once start i is within reach of start 0; n is the end and leads to itself
-    jump = np.append(after, n)
-    hit = np.zeros(n + 1, dtype=bool)
-    hit[0] = True
-    while not hit[n]:
-        hit[jump[hit]] = True
-        jump = jump[jump]
-    cuts = np.flatnonzero(hit[:n])
-    return [(int(starts[i]), int(ends[stop[i] - 1]), int(stop[i] - i)) for i in cuts]
+    after = np.where(stop >= n, -1, np.maximum(stop - back, index + 1))
+    nodes = np.unique(np.append(after[after > 0], 0))
+    return [(int(i), int(after[i]), int(starts[i]), int(ends[stop[i] - 1]), int(stop[i] - i)) for i in nodes]
 
 
 def limits_of(size_limits: DataFrame) -> dict[str, tuple[int, int]]:
@@ -136,27 +136,61 @@ def oversized(chunks: DataFrame, owners: DataFrame, limits: dict[str, tuple[int,
     return out.select(*cols, "tokens", F.col("lim.m").alias("max_tokens"), F.col("lim.o").alias("overlap_tokens"))
 
 
-PIECE = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("parent_symbol_id", T.StringType()),
-        T.StructField("piece_index", T.LongType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("token_count", T.LongType()),
-        T.StructField("start_char", T.LongType()),
-    ]
-)
+_SUCCESSOR = "id string, parent_symbol_id string, serial long, node long, next long, start long, end long, words long"
 
 
-def pieces(big: DataFrame) -> DataFrame:
-    """The numbered pieces (from 0) of each row of `oversized`; start_char is the piece's place in the text."""
+def successor_table(big: DataFrame) -> DataFrame:
+    """The successors of all boundaries of all texts of `oversized`; serial tells texts of one id apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for cid, parent, text, most, over in zip(b.id, b.parent_symbol_id, b.text, b.max_tokens, b.overlap_tokens):
-                for k, (s, e, words) in enumerate(cut(text, int(most), int(over))):
-                    rows.append((cid, parent, k, text[s:e], (words * 13 + 9) // 10, s))
-            yield pd.DataFrame(rows, columns=PIECE.names)
+            for cid, parent, serial, text, most, over in zip(b.id, b.parent_symbol_id, b.serial, b.text, b.max_tokens, b.overlap_tokens):
+                rows += [(cid, parent, serial, *x) for x in successors(text, int(most), int(over))]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _SUCCESSOR.split(", ")])
+
+    return big.select("id", "parent_symbol_id", "serial", "text", "max_tokens", "overlap_tokens").mapInPandas(run, _SUCCESSOR)
+
+
+def reached(table: DataFrame) -> DataFrame:
+    """(id, serial, node) of the boundaries that the first one of each text leads to: the greedy cuts.
 
-    return big.select("id", "parent_symbol_id", "text", "max_tokens", "overlap_tokens").mapInPandas(run, PIECE)
+    Pointer doubling by joins: `jump` leads 2^k cuts ahead in round k; what is
+    reached so far, carried over by it, doubles what is reached. Each round is
+    written, so a lost executor costs one round. Rows that lead to the end leave
+    the table, which shrinks as it is squared.
+    """
+    key = ["id", "serial"]
+    jump = durable(table.filter("next >= 0").select(*key, "node", "next"))
+    hit = durable(table.filter("node = 0").select(*key, "node"))
+    parts = [hit]
+    while True:
+        have = parts[0]
+        for p in parts[1:]:
+            have = have.unionByName(p)
+        new = durable(have.join(jump, [*key, "node"]).select(*key, F.col("next").alias("node")))
+        if new.limit(1).count() == 0:
+            return have
+        parts.append(new)  # 2^(k-1) to 2^k cuts from the start: none that is known yet
+        far = jump.select(*key, F.col("node").alias("next"), F.col("next").alias("far"))
+        squared = durable(jump.join(far, [*key, "next"]).select(*key, "node", F.col("far").alias("next")))
+        release(jump)
+        jump = squared
+
+
+def pieces(big: DataFrame) -> DataFrame:
+    """The numbered pieces (from 0) of each row of `oversized`: id, parent_symbol_id, piece_index, text, token_count, start_char (its place in the text).
+
+    Blank texts have no pieces; rows with a null id are left out.
+    """
+    key = ["id", "serial"]
+    big = durable(big.withColumn("serial", F.xxhash64("text")))
+    table = durable(successor_table(big))
+    cuts = table.join(reached(table), [*key, "node"])
+    # a text's pieces are numbered among its few cuts, without the text
+    nth = F.row_number().over(W.partitionBy(*key).orderBy("node")) - 1
+    cuts = cuts.select(*key, "start", "end", "words", nth.cast("long").alias("piece_index"))
+    body = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    return cuts.join(big.select(*key, "parent_symbol_id", "text"), key).select(
+        "id", "parent_symbol_id", "piece_index", body.alias("text"), F.floor((F.col("words") * 13 + 9) / 10).cast("long").alias("token_count"), F.col("start").alias("start_char")
+    )
