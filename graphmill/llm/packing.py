@@ -5,9 +5,9 @@ inverted index of its items' terms. Containers are filled one by one: the
 largest unused item is the seed; the index returns its unused neighbours, and
 they fill the window greedily, the largest that fits first, ties by BM25 score;
 what no neighbour can fill takes the largest unused item that fits. Containers
-that end up poorly filled are dissolved, and their items are packed again
-together with those of the other shards, round by round, until the rest of a
-group fits one shard.
+filled to less than the round's target are dissolved, and their items are packed
+again together with those of the other shards, until the rest of a group fits one
+shard; the targets fall by a fixed schedule, and the last round keeps all.
 """
 
 from __future__ import annotations
@@ -29,10 +29,8 @@ K1, B = 1.2, 0.75
 SHARD_ITEMS = 4_096
 #: Neighbours that the index returns for a seed.
 NEIGHBOURS = 48
-#: Containers filled to less than this share are packed again with other shards' rest.
-KEEP_FILL = 0.97
-#: A term in more than this share of a shard's items tells nothing and is not indexed.
-COMMON = 0.5
+#: Containers filled to less than this share are packed again with other shards' rest, round by round; after these rounds all are kept.
+KEEP_FILL = (0.97, 0.97, 0.95, 0.90, 0.80)
 _TERM = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -61,15 +59,15 @@ class Index:
                 post.setdefault(t, []).append((i, k))
         self.postings = {}
         for t, p in post.items():
-            if 1 < len(p) <= max(2, COMMON * n):
+            if len(p) > 1:  # a term of one item leads to no neighbour
                 ids = np.fromiter((i for i, _ in p), dtype=np.int64, count=len(p))
                 tf = np.fromiter((k for _, k in p), dtype=float, count=len(p))
                 idf = math.log(1 + (n - len(p) + 0.5) / (len(p) + 0.5))
                 self.postings[t] = (ids, idf * tf * (K1 + 1) / (tf + norm[ids]))
         self.seed_terms = [list(c) for c in counts]
 
-    def neighbours(self, seed: int, unused: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """At most k unused items that share a term with the seed, best BM25 score first, ties by position."""
+    def neighbours(self, seed: int, unused: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """At most k unused items that share a term with the seed, best BM25 score first, ties by position; and their scores."""
         score = np.zeros(self.n)
         for t in self.seed_terms[seed]:
             hit = self.postings.get(t)
@@ -80,8 +78,7 @@ class Index:
         found = np.flatnonzero(score)
         if len(found) > k:
             found = found[np.argpartition(-score[found], k - 1)[:k]]
-        order = np.lexsort((found, -score[found]))
-        return [(int(i), float(score[i])) for i in found[order]]
+        return found, score[found]
 
 
 def pack(sizes: list[int], texts: list[str | None], capacity: int) -> list[int]:
@@ -92,6 +89,7 @@ def pack(sizes: list[int], texts: list[str | None], capacity: int) -> list[int]:
         return out
     index = Index(texts)
     unused = np.ones(n, dtype=bool)
+    size_of = np.array(sizes, dtype=np.int64)
     free = sorted((s, -i) for i, s in enumerate(sizes))  # ascending; ties: the earlier item is the later entry
     taken = 0
 
@@ -105,9 +103,10 @@ def pack(sizes: list[int], texts: list[str | None], capacity: int) -> list[int]:
         use(seed)
         room = capacity - sizes[seed]
         if room and free and free[0][0] <= room:
-            near = index.neighbours(seed, unused, NEIGHBOURS)
-            near.sort(key=lambda x: (-sizes[x[0]], -x[1], x[0]))
-            for i, _ in near:
+            near, score = index.neighbours(seed, unused, NEIGHBOURS)
+            fits = size_of[near] <= room
+            near, score = near[fits], score[fits]
+            for i in near[np.lexsort((near, -score, -size_of[near]))].tolist():
                 # a neighbour is taken when it leaves no more space than the best fit of all would, or room for another
                 if sizes[i] <= room and (sizes[i] == room or room - sizes[i] >= free[0][0]):
                     use(i)
@@ -131,7 +130,7 @@ def _pack_task(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["grp", "shard", "tokens", "item"], ascending=[True, True, False, True], kind="stable").reset_index(drop=True)
     grp, shard = pdf["grp"].tolist(), pdf["shard"].tolist()
     tokens, txt, capacity = pdf["tokens"].to_numpy(), pdf["txt"].tolist(), pdf["capacity"].tolist()
-    turn, last = pdf["round"].tolist(), pdf["last"].tolist()
+    turn, last, keep = pdf["round"].tolist(), pdf["last"].tolist(), pdf["keep"].iloc[0]
     names: list[str] = []
     closed: list[bool] = []
     start = 0
@@ -144,7 +143,7 @@ def _pack_task(pdf: pd.DataFrame) -> pd.DataFrame:
         boxes = np.zeros(end - start, dtype=np.int64)
         boxes[:some] = pack([int(x) for x in sizes[:some]], txt[start : start + some], int(capacity[start]))
         fill = np.bincount(boxes, weights=sizes)
-        done = (fill >= KEEP_FILL * capacity[start])[boxes] | last[start]
+        done = (fill >= keep * capacity[start])[boxes] | last[start]
         names += [f"{turn[start]}-{shard[start]}-{x}" for x in boxes]
         closed += done.tolist()
         start = end
@@ -187,26 +186,21 @@ def fill_containers(items: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFra
         sizes = durable(sizes.withColumn("shards", F.when(F.col("n") <= shard_items, F.lit(1).cast("long")).otherwise(shards)))
         known = sizes.agg(F.sum("n"), F.max("shards")).first()
         total, many = known[0] or 0, (known[1] or 1) > 1
+        if turn and not total:
+            break
         # shards of large groups are tasks of their own; small groups share tasks of about the same size
         tasks = max(1, -(-total // shard_items))
         spot = F.pmod(F.xxhash64(F.lit(turn), F.col("item"), F.col("tokens")), F.col("shards"))
         task = F.when(F.col("shards") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(tasks)))).otherwise(F.concat(F.lit("g"), "grp", F.lit("-"), "shard"))
         sharded = todo.join(sizes, "grp").withColumn("shard", spot).select(
-            "grp", "item", "score", "tokens", "capacity", "txt", "shard", F.lit(turn).alias("round"), (F.col("shards") == 1).alias("last"), task.alias("task")
+            "grp", "item", "score", "tokens", "capacity", "txt", "shard", F.lit(turn).alias("round"), F.lit(KEEP_FILL[turn] if turn < len(KEEP_FILL) else 0.0).alias("keep"), (F.col("shards") == 1).alias("last"), task.alias("task")
         )
         placed = durable(sharded.groupBy("task").applyInPandas(_pack_task, _PLACED))
         out.append(placed.filter("closed"))
-        if not many:
+        if not many or turn == len(KEEP_FILL):
             break
-        left = placed.filter("not closed").drop("container", "closed")
-        before, now = todo.count(), left.count()
+        todo = placed.filter("not closed").drop("container", "closed")
         turn += 1
-        todo = left
-        if now == 0:
-            break
-        if now > 0.5 * before:  # the sizes do not fit together, as if all were just above half the capacity
-            out.append(placed.filter("not closed"))
-            break
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)
