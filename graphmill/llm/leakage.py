@@ -18,6 +18,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,8 +32,8 @@ from graphmill.session import durable
 PASSAGE = 12
 #: Words of one indexed block of a stretch; a longer stretch is cut into blocks that overlap by PASSAGE - 1.
 BLOCK = 256
-#: Most distinct words and windows of held-out items that are sent to every task.
-MAX_VOCABULARY, MAX_WINDOWS = 2_000_000, 2_000_000
+#: Most distinct words and windows of held-out items that are sent to every task at once; more are taken block by block.
+MAX_VOCABULARY, MAX_WINDOWS = 1_000_000, 500_000
 
 _WORD = re.compile(r"[^\W_]+")
 #: A word broken at a line end: hyphen, line break, then the next line's indent and comment or quote marks.
@@ -69,19 +70,25 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text)
 
 
-def _windows(items: DataFrame, passage: int) -> tuple[list[tuple[int, int, tuple[str, ...]]], dict[str, int]]:
-    """All windows of the held-out items and the numbers of their words; the bounds are checked."""
-    out, vocabulary = [], {}
+def _windows(items: DataFrame, passage: int) -> Iterator[tuple[list[tuple[object, int, tuple[str, ...]]], dict[str, int]]]:
+    """All windows of the held-out items, in blocks of bounded size, with the numbers of each block's words.
+
+    The items stream through the driver one at a time, and it holds one block.
+    """
+    out: list = []
+    vocabulary: dict[str, int] = {}
     for item, text in items.toLocalIterator():
         w = words(text)
         for i in range(len(w) - passage + 1):
-            out.append((item, i, tuple(w[i : i + passage])))
-        if len(w) >= passage:
-            for x in w:
+            if len(out) >= MAX_WINDOWS or len(vocabulary) > MAX_VOCABULARY - passage:
+                yield out, vocabulary
+                out, vocabulary = [], {}
+            window = tuple(w[i : i + passage])
+            out.append((item, i, window))
+            for x in window:
                 vocabulary.setdefault(x, len(vocabulary))
-        if len(out) > MAX_WINDOWS or len(vocabulary) > MAX_VOCABULARY:
-            raise ValueError("the held-out items exceed the bound for broadcasting; split them and run in parts")
-    return out, vocabulary
+    if out:
+        yield out, vocabulary
 
 
 def index_corpus(docs: DataFrame, vocabulary: dict[str, int], key: str, text: str, passage: int = PASSAGE) -> DataFrame:
@@ -113,25 +120,20 @@ def index_corpus(docs: DataFrame, vocabulary: dict[str, int], key: str, text: st
     return docs.filter(F.col(key).isNotNull()).select(key, text).mapInPandas(run, f"{key} {key_type}, start long, terms array<int>")
 
 
-def _candidates(docs: DataFrame, items: DataFrame, key: str, item: str, text: str, passage: int) -> tuple[DataFrame | None, str]:
-    """Blocks that hold the rarest word of a held-out window, with the window and the word's place; and the types of both keys."""
-    spark = docs.sparkSession
-    windows, vocabulary = _windows(items.filter(F.col(item).isNotNull()).select(item, text), passage)
-    kinds = f"{key} {dict(docs.dtypes)[key]}, {item} {dict(items.dtypes)[item]}"
-    if not windows:
-        return None, kinds
+def _candidates(docs: DataFrame, windows: list, vocabulary: dict[str, int], key: str, item: str, item_type: str, text: str, passage: int) -> DataFrame:
+    """Blocks that hold the rarest word of a held-out window, with the window and the word's place."""
     index = durable(index_corpus(docs, vocabulary, key, text, passage))
     freq = index.select(F.explode(F.array_distinct("terms")).alias("term"), key).groupBy("term").agg(F.count("*").alias("df"))
-    df = {r[0]: r[1] for r in freq.collect()}  # at most one row per held-out word
+    df = {r[0]: r[1] for r in freq.collect()}  # at most one row per word of the block
     rows = []
     for it, at, ws in windows:
         ids = [vocabulary[w] for w in ws]
         off = min(range(passage), key=lambda j: (df.get(ids[j], 0), ids[j], j))
         if df.get(ids[off], 0):
             rows.append((ids[off], off, it, at, ids))
-    wanted = spark.createDataFrame(rows, f"term int, off int, {item} {dict(items.dtypes)[item]}, at int, ids array<int>")
+    wanted = docs.sparkSession.createDataFrame(rows, f"term int, off int, {item} {item_type}, at int, ids array<int>")
     posted = index.select(key, "start", "terms", F.posexplode("terms").alias("pos", "term"))
-    return posted.join(F.broadcast(wanted), "term"), kinds  # MAX_WINDOWS rows at most
+    return posted.join(F.broadcast(wanted), "term")  # MAX_WINDOWS rows at most
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", passage: int = PASSAGE) -> DataFrame:
@@ -140,12 +142,15 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "i
     passages counts the distinct windows of the item that the text holds, in any
     place; first_word is the place of the first, in words. Items shorter than a
     passage never leak; null texts, keys and items are none. Repeated texts are
-    each reported under their own key. The items are held-out material of
-    bounded size (checked) and are broadcast; all corpus rows take part.
+    each reported under their own key. The items' windows are broadcast in blocks
+    of MAX_WINDOWS, each against all corpus rows.
     """
-    met, kinds = _candidates(docs, items, key, item, text, passage)
-    if met is None:
-        return docs.sparkSession.createDataFrame([], f"{kinds}, passages long, first_word long")
+    kinds = dict(docs.dtypes)[key], dict(items.dtypes)[item]
+    blocks = _windows(items.filter(F.col(item).isNotNull()).select(item, text), passage)
+    parts = [_candidates(docs, *block, key, item, kinds[1], text, passage) for block in blocks]
+    if not parts:
+        return docs.sparkSession.createDataFrame([], f"{key} {kinds[0]}, {item} {kinds[1]}, passages long, first_word long")
+    met = reduce(DataFrame.unionByName, parts)
     exact = met.filter((F.col("pos") >= F.col("off")) & (F.slice("terms", F.greatest(F.col("pos") - F.col("off") + 1, F.lit(1)), passage) == F.col("ids")))
     place = (F.col("start") + F.col("pos") - F.col("off")).alias("place")
     return exact.select(key, item, "at", place).groupBy(key, item).agg(F.countDistinct("at").alias("passages"), F.min("place").alias("first_word"))
@@ -250,20 +255,24 @@ def near_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str
     text, in any order and with any other words between them, as for words
     replaced, inserted or left out. Exact leaks are among them with share 1.
     """
-    spark = docs.sparkSession
-    span = passage + 2 * slack
     kinds = f"{key} {dict(docs.dtypes)[key]}, {item} {dict(items.dtypes)[item]}"
-    found, vocabulary = _windows(items.filter(F.col(item).isNotNull()).select(item, text), passage)
+    blocks = _windows(items.filter(F.col(item).isNotNull()).select(item, text), passage)
+    parts = [p for p in (_near_block(docs, *block, key, item, kinds, text, passage, passage + 2 * slack, share) for block in blocks) if p is not None]
+    if not parts:
+        return docs.sparkSession.createDataFrame([], f"{kinds}, share double")
+    return reduce(DataFrame.unionByName, parts).groupBy(key, item).agg(F.max("share").alias("share"))
+
+
+def _near_block(docs: DataFrame, found: list, vocabulary: dict[str, int], key: str, item: str, kinds: str, text: str, passage: int, span: int, share: float) -> DataFrame | None:
+    """(key, item, share) of one block of windows, a pair possibly in several rows; None where no text can match."""
     windows = list(dict.fromkeys((it, tuple(sorted({vocabulary[w] for w in ws}))) for it, _, ws in found))
-    if not windows:
-        return spark.createDataFrame([], f"{kinds}, share double")
     index = durable(index_positions(docs, vocabulary, key, text, span))
     freq = index.select(F.explode(F.array_distinct("terms")).alias("term")).filter("term >= 0").groupBy("term").agg(F.count("*").alias("df"))
     df = {r[0]: r[1] for r in freq.collect()}  # at most one row per held-out word
     anchors = _Anchors(windows, df, len(vocabulary), passage, share)
     if not len(anchors.keys):
-        return spark.createDataFrame([], f"{kinds}, share double")
-    shared = spark.sparkContext.broadcast(anchors)  # MAX_WINDOWS windows at most
+        return None
+    shared = docs.sparkSession.sparkContext.broadcast(anchors)  # MAX_WINDOWS windows at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = shared.value
@@ -283,4 +292,4 @@ def near_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str
                 got = pd.DataFrame({key: keys, item: pd.Series([a.items[n] for n in of[ok]], dtype=object), "share": part[ok]})
                 yield got.groupby([key, item], as_index=False, sort=False)["share"].max()
 
-    return index.mapInPandas(run, f"{kinds}, share double").groupBy(key, item).agg(F.max("share").alias("share"))
+    return index.mapInPandas(run, f"{kinds}, share double")

@@ -64,6 +64,27 @@ def test_fill_containers_keeps_all_tokens(spark):
     assert packing.fill_containers(df.limit(0)).count() == 0
 
 
+def test_large_groups_are_packed_like_small_ones(spark):
+    """A group of many shards: nothing is lost, and it takes few more containers than space; also where sizes just exceed half of it."""
+    rnd = random.Random(3)
+    rows = [("wide", f"i{k}", rnd.randint(1, 60), 0.5, 100, f"name{k % 50} part{k % 7}") for k in range(10_000)] + [("halves", f"h{k}", rnd.randint(51, 70), 0.5, 100, "same name") for k in range(2_000)]
+    df = spark.createDataFrame(rows, "grp string, item string, tokens long, score double, capacity long, txt string")
+    fill, items = defaultdict(int), defaultdict(int)
+    for r in packing.fill_containers(df, shard_items=500).collect():
+        fill[r.grp, r.container] += r.tokens
+        items[r.grp] += 1
+    assert items == {"wide": 10_000, "halves": 2_000} and max(fill.values()) <= 100
+    least = sum(r[2] for r in rows if r[0] == "wide") / 100
+    assert sum(g == "wide" for g, _ in fill) <= 1.02 * least + 1 and sum(g == "halves" for g, _ in fill) == 2_000
+
+
+def test_common_terms_retrieve(spark):
+    """Terms of all items still lead to neighbours."""
+    index = packing.Index(["mod read", "mod write", "mod", None])
+    found, score = index.neighbours(2, __import__("numpy").array([True] * 4), 5)
+    assert found.tolist() == [0, 1] and (score > 0).all()
+
+
 def test_chunks_are_packed_by_their_text(spark, tmp_path):
     topics = {"a": "alpha beta gamma", "b": "delta epsilon zeta"}
     rows = []
@@ -255,12 +276,34 @@ def test_propagation_decides_what_files_alone_do_not(spark):
 # --- 6 ---
 
 
+def _walk(text, most, over):
+    """(start, end, words) of the greedy pieces, cut by cut."""
+    table = {x[0]: x[1:] for x in splitting.successors(text, most, over)}
+    at, out = 0 if table else -1, []
+    while at >= 0:
+        at, *piece = table[at]
+        out.append(tuple(piece))
+    return out
+
+
+def test_joined_successors_equal_the_walk(spark):
+    rnd = random.Random(8)
+    glue = [" ", " ", " ", "\n", "\n\n", ". ", "; ", "\u3000"]
+    rows = [(f"c{k}", "p", "".join(rnd.choice(["ab", "c", "word", "né"]) + rnd.choice(glue) for _ in range(rnd.choice([0, 1, 30, 700]))), rnd.choice([1, 7, 20, 100]), rnd.choice([0, 2, 30])) for k in range(40)]
+    rows += [("long", "p", "x " * 9000, 13, 0), ("c1", None, "same id other text " * 40, 20, 5), ("empty", "p", "", 5, 0), ("blank", "p", " \n ", 5, 0)]
+    big = spark.createDataFrame(rows, "id string, parent_symbol_id string, text string, max_tokens long, overlap_tokens long")
+    got = sorted(((r.id, r.parent_symbol_id, r.piece_index, r.text, r.token_count, r.start_char) for r in splitting.pieces(big).collect()), key=str)
+    want = [(i, p, k, t[s:e], (n * 13 + 9) // 10, s) for i, p, t, most, over in rows for k, (s, e, n) in enumerate(_walk(t, most, over))]
+    assert got == sorted(want, key=str) and sum(r[0] == "long" for r in got) == 900
+    assert splitting.pieces(big.limit(0)).count() == 0
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["ab", "c.", " ", "\n", "\n\n", "x;", "\u3000", "\u00a0", "}", "word "]), max_size=120), st.integers(1, 40), st.integers(0, 50))
 def test_cut_properties(parts, most, over):
     text = "".join(parts)
     spans = [m.span() for m in re.finditer(f"[^{splitting.WHITE_SPACE}]+", text)]
-    pieces = splitting.cut(text, most, over)
+    pieces = _walk(text, most, over)
     room, back = max(1, most * 10 // 13), over * 10 // 13
     seen, before = set(), None
     for s, e, n in pieces:
@@ -382,6 +425,17 @@ def test_near_leaks_with_foreign_words(spark):
     assert near == {k: 11 / 12 for k in range(12)} | {20 + k: 1.0 for k in range(12)}
 
 
+def test_held_out_items_in_blocks(spark, sf, monkeypatch):
+    """More windows than one broadcast takes: the same rows, block by block, also for one item of several blocks."""
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/eval_items.parquet").filter("item_id % 6 = 0")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    exact, near = rows(leakage.leaks(docs, items)), rows(leakage.near_leaks(docs, items))
+    blocks = sum(1 for _ in leakage._windows(items, 12))
+    monkeypatch.setattr(leakage, "MAX_WINDOWS", 700)
+    assert sum(1 for _ in leakage._windows(items, 12)) > 2 > blocks
+    assert rows(leakage.leaks(docs, items)) == exact and rows(leakage.near_leaks(docs, items)) == near and near
+
+
 # --- 10 ---
 
 RESIDUE = [
