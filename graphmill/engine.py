@@ -8,6 +8,7 @@ and answer for all of them in one plan.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,13 @@ from pyspark.sql import functions as F
 from graphmill.functions import classify as C
 from graphmill.functions import text as T
 from graphmill.functions.paths import module_key, path_depth, plain_path
+from graphmill.functions.vectors import hash_embedding
 from graphmill.operators import binding as B
 from graphmill.operators import budget as U
 from graphmill.operators import diffs
 from graphmill.operators import graph as G
 from graphmill.operators import hierarchy as H
+from graphmill.operators import indexes as X
 from graphmill.operators import merkle as M
 from graphmill.operators import retrieval as R
 from graphmill.operators import storage as S
@@ -67,6 +70,9 @@ class Engine:
         self.spark, self.files, self.symbols, self.edges, self.chunks = spark, files, symbols, edges, chunks
         self.settings = settings or Settings()
         self.shadow = ShadowFiles()
+        self.cache = X.QueryCache()
+        self._derived: dict[str, DataFrame] = {}  # bound edges, postings and vectors, each made once when first asked for
+        self._version = uuid.uuid4().hex
 
     # --- building and maintaining ---
 
@@ -108,23 +114,59 @@ class Engine:
         return new, changes
 
     def save(self, store: S.TableStore) -> None:
-        for name in ("files", "symbols", "edges", "chunks"):
-            store.write(name, getattr(self, name))
-        store.set_metadata("format", 3)
+        """All tables, those derived from them included, in one commit."""
+        tables = {n: getattr(self, n) for n in ("files", "symbols", "edges", "chunks")}
+        tables |= {"bound": self.bound_edges(), "postings": self.postings(), "vectors": self.vectors()}
+        store.commit(tables, {"format": 4})
 
     @staticmethod
     def load(spark: SparkSession, store: S.TableStore) -> Engine:
-        if store.metadata("format") != 3:
+        if store.metadata("format") != 4:
             raise ValueError("no index of this format")
-        return Engine(spark, *[store.read(n) for n in ("files", "symbols", "edges", "chunks")])
+        engine = Engine(spark, *[store.read(n) for n in ("files", "symbols", "edges", "chunks")])
+        engine._derived = {n: store.read(n) for n in ("bound", "postings", "vectors")}
+        return engine
+
+    def _replace_edges(self, new: DataFrame) -> None:
+        """Upsert edges; what was derived from them, and results of searches, no longer hold."""
+        self.edges = durable(S.upsert(self.edges, new, ["src", "dst", "edge_type"]))
+        self._derived.pop("bound", None)
+        self._version = uuid.uuid4().hex
 
     # --- definitions, callers, references ---
 
+    def _once(self, name: str, build) -> DataFrame:
+        if name not in self._derived:
+            self._derived[name] = durable(build())
+        return self._derived[name]
+
     def bound_edges(self) -> DataFrame:
-        """Edges whose ends are symbol ids: names bound by locality, with confidence and evidence."""
-        e = self.edges.select("src", F.col("dst").alias("dst_name"), "edge_type")
-        found = B.bind_locality(e.select("src", "dst_name"), self.symbols)
-        return e.join(found, ["src", "dst_name"]).select("src", F.col("target").alias("dst"), "edge_type", "confidence", "evidence")
+        """Edges whose ends are symbol ids: names bound by locality, with confidence and evidence; bound once and kept."""
+
+        def build() -> DataFrame:
+            e = self.edges.select("src", F.col("dst").alias("dst_name"), "edge_type", F.col("tags"))
+            traced = F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.startswith("trace:"))
+            e = durable(e.groupBy("src", "dst_name", "edge_type").agg(F.max(F.element_at(F.concat(traced, F.array(F.lit(None).cast("string"))), 1)).alias("trace"), F.max(F.coalesce(F.array_contains("tags", "stack-graph"), F.lit(False))).alias("stacked")))
+            found = B.bind_locality(e.select("src", "dst_name"), self.symbols)
+            exact = F.col("evidence") == "exact_id"
+            traced_id = F.concat(F.lit("execution_trace:"), F.substring("trace", 7, 1 << 20))
+            evidence = F.when(exact & F.col("trace").isNotNull(), traced_id).when(exact & F.col("stacked"), "stack_graph").otherwise(F.col("evidence"))
+            confidence = F.when(exact & F.col("trace").isNull() & F.col("stacked"), 0.99).otherwise(F.col("confidence"))
+            return e.join(found, ["src", "dst_name"]).select("src", F.col("target").alias("dst"), "edge_type", confidence.alias("confidence"), evidence.alias("evidence"))
+
+        return self._once("bound", build)
+
+    def _documents(self) -> DataFrame:
+        docs = self.chunks.join(self.symbols.select(F.col("id").alias("parent_symbol_id"), "name", "signature"), "parent_symbol_id")
+        return docs.select("id", "parent_symbol_id", "name", "signature", "text")
+
+    def postings(self) -> DataFrame:
+        """The lexical index of all chunks, made once and kept."""
+        return self._once("postings", lambda: R.postings(self._documents(), R.document_fields(F.col("name"), F.coalesce("text", F.lit("")))))
+
+    def vectors(self) -> DataFrame:
+        """The vectors of all chunks, made once and kept."""
+        return self._once("vectors", lambda: self._documents().select("id", hash_embedding(F.coalesce("text", F.lit(""))).alias("vec")))
 
     def get_definition(self, symbol: str, context: str = "") -> DataFrame:
         """The definition that a name means at a symbol, or anywhere for no context."""
@@ -178,7 +220,7 @@ class Engine:
             if not self.settings.execution_trace_pinning:
                 raise PermissionError("pinning is switched off")
             tagged = G.carried_edges(self.edges, found)
-            self.edges = durable(S.upsert(self.edges, tagged, ["src", "dst", "edge_type"]))
+            self._replace_edges(tagged)
         return found
 
     def pin_execution_trace(self, trace_id: str, symbol_ids: list[str]) -> DataFrame:
@@ -187,7 +229,7 @@ class Engine:
             raise ValueError("a trace has at least two steps")
         steps = self.spark.createDataFrame([(trace_id, i, s) for i, s in enumerate(symbol_ids)], "trace_id string, pos int, node string")
         new = durable(G.trace_edges(steps, self.symbols).select("src", "dst", "edge_type", "tags"))
-        self.edges = durable(S.upsert(self.edges, new, ["src", "dst", "edge_type"]))
+        self._replace_edges(new)
         return new
 
     # --- search ---
@@ -206,37 +248,48 @@ class Engine:
         width = _clamp(max(limit, o.candidates) if o.rerank else limit, 1, STAGE_MOST)
         q = self.spark.createDataFrame(list(enumerate(queries)), "qid long, query string")
         q = durable(q.withColumn("a", T.analyze_query(F.col("query"))))
-        docs = self.chunks.join(self.symbols.select(F.col("id").alias("parent_symbol_id"), "name", "signature"), "parent_symbol_id")
-        docs = docs.select("id", "parent_symbol_id", "name", "signature", "text")
+        key = self.cache.key(self._version, mode, limit, width, o, *[" ".join(x.split()) for x in queries])
+        known = self.cache.get(key)
+        if known is not None:
+            return self.spark.createDataFrame(known, "qid long, id string, position long")
+        out = self._search(q, mode, limit, width, o)
+        if len(queries) <= SEARCH_MOST:  # at most that many lists of at most SEARCH_MOST rows
+            rows = [tuple(r) for r in out.collect()]
+            self.cache.put(key, rows)
+            return self.spark.createDataFrame(rows, "qid long, id string, position long")
+        return out
+
+    def _search(self, q: DataFrame, mode: str, limit: int, width: int, o: SearchOptions) -> DataFrame:
         legs = []
         if mode in ("lexical", "hybrid"):
-            idx = durable(R.postings(docs, R.document_fields(F.col("name"), F.coalesce("text", F.lit("")))))
+            idx = self.postings()
             grams = lambda c: F.array_union(c, F.flatten(F.transform(c, T.trigrams)))
             legs.append(R.ranked(R.bm25(idx, q.select("qid", grams(T.code_tokens(F.col("query"))).alias("terms"))), "raw", width))
             legs.append(R.ranked(R.bm25(idx, q.select("qid", grams(F.col("a.expanded")).alias("terms"))), "expanded", width))
         if mode in ("semantic", "hybrid"):
-            from graphmill.functions.vectors import hash_embedding
-
-            vec = docs.select("id", hash_embedding(F.coalesce("text", F.lit(""))).alias("vec"))
-            legs.append(R.vector_topk(vec, q.select("qid", hash_embedding(F.col("query")).alias("vec")), width).transform(lambda x: R.top_k(x, width, ["qid"])).select("qid", F.lit("vector").alias("leg"), "id", "rank"))
+            legs.append(R.vector_topk(self.vectors(), q.select("qid", hash_embedding(F.col("query")).alias("vec")), width).transform(lambda x: R.top_k(x, width, ["qid"])).select("qid", F.lit("vector").alias("leg"), "id", "rank"))
         all_legs = legs[0]
         for leg in legs[1:]:
             all_legs = all_legs.unionByName(leg)
         fused = R.top_k(R.rrf(all_legs), width, ["qid"]).drop("rank")
-        sym = fused.join(docs.select("id", "parent_symbol_id"), "id").groupBy("qid", F.col("parent_symbol_id").alias("id")).agg(F.max("score").alias("score"))
+        sym = fused.join(self.chunks.select("id", "parent_symbol_id"), "id").groupBy("qid", F.col("parent_symbol_id").alias("id")).agg(F.max("score").alias("score"))
         cols = self.symbols.select("id", "name", "kind", "signature", "file_path", "start_line", "end_line", F.concat_ws(" ", "name", "qualified_name", "kind", "signature", "file_path", "docstring").alias("hay"))
         c = sym.join(cols, "id").join(q, "qid")
         if o.rerank:
             c = R.overlap_rerank(c.withColumn("text", F.concat_ws(" ", "signature", "name")))
         c = durable(c.select("qid", "id", "score"))
         if o.graph_hops:
-            bound = durable(self.bound_edges())
+            bound = self.bound_edges()
             seeds = R.top_k(c, EXPAND_SEEDS, ["qid"]).select(F.concat_ws("\u0001", F.col("qid").cast("string"), "id").alias("key"), "qid", "id", "score")
+            ask = q.select("qid", "a.relation", "a.subject", "a.object", "a.expanded")
             near = G.ranked_expansion(bound, seeds.select(F.col("key").alias("qid"), "id"), o.graph_hops).withColumnRenamed("qid", "key")
-            near = near.join(seeds.select("key", F.col("qid").alias("q"), F.col("score").alias("s")), "key")
-            grown = near.select(F.col("q").alias("qid"), "id", (F.col("s") * F.col("score")).alias("score"))
+            near = near.join(seeds.select("key", F.col("qid").alias("q"), F.col("id").alias("root"), F.col("score").alias("s")), "key")
+            # a neighbour over an edge of the relation that the query asks for counts more
+            asked = bound.select("edge_type", F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e"))
+            asked = asked.join(ask.select(F.col("qid").alias("q"), F.col("relation").alias("edge_type")).filter("edge_type is not null"), "edge_type").select("q", F.col("e.a").alias("root"), F.col("e.b").alias("id"), F.lit(RELATION_BONUS).alias("bonus")).distinct()
+            near = near.join(asked, ["q", "root", "id"], "left")
+            grown = near.select(F.col("q").alias("qid"), "id", (F.col("s") * F.col("score") * F.coalesce("bonus", F.lit(1.0))).alias("score"))
             c = c.unionByName(grown).groupBy("qid", "id").agg(F.max("score").alias("score"))
-            ask = q.select("qid", "a.relation", "a.subject", "a.object", "a.expanded")
             c = self._boost(c.join(cols.select("id", "hay"), "id").join(ask, "qid"), bound, cols)
         c = R.top_k(c, width, ["qid"]).select("qid", "id", "score").join(cols, "id")
         c = c.select("qid", "id", "score", F.concat_ws(" ", "name", "kind", "signature").alias("text"), "file_path", "start_line", "end_line")
@@ -248,9 +301,9 @@ class Engine:
 
     def _boost(self, c: DataFrame, bound: DataFrame, cols: DataFrame) -> DataFrame:
         """score * (1 + evidence) with the evidence of edges of the asked relation, at most 0.72."""
-        out = bound.select(F.col("src").alias("id"), "dst", "edge_type").join(cols.select(F.col("id").alias("dst"), F.col("hay").alias("t_hay")), "dst")
+        out = bound.select(F.col("src").alias("id"), "dst", "edge_type", "evidence").join(cols.select(F.col("id").alias("dst"), F.col("hay").alias("t_hay")), "dst")
         ev = c.join(out, "id").filter(F.col("edge_type") == F.col("relation"))
-        ev = ev.select("qid", "id", (0.24 * self._match(F.col("subject"), F.col("hay")) + 0.34 * self._match(F.col("object"), F.col("t_hay")) + 0.04).alias("e"))
+        ev = ev.select("qid", "id", (0.24 * self._match(F.col("subject"), F.col("hay")) + 0.34 * self._match(F.col("object"), F.col("t_hay")) + F.when(F.col("evidence").startswith("execution_trace"), 0.14).when(F.col("evidence") == "stack_graph", 0.10).otherwise(0.04)).alias("e"))
         back = c.join(bound.select(F.col("dst").alias("id"), "edge_type"), "id").filter(F.col("edge_type") == F.col("relation"))
         back = back.select("qid", "id", (0.18 * self._match(F.col("object"), F.col("hay"))).alias("e"))
         best = ev.unionByName(back).groupBy("qid", "id").agg(F.least(F.max("e"), F.lit(0.72)).alias("e"))

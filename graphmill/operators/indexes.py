@@ -84,9 +84,8 @@ def update_index(index: DataFrame, removed: DataFrame, added: DataFrame, key: st
 def ensure_index(store: TableStore, name: str, documents: DataFrame, build: Callable[[DataFrame], DataFrame], key: str = "id") -> DataFrame:
     """The stored index, rebuilt first where it does not cover as many keys as there are documents."""
     want = documents.select(key).distinct().count()
-    if store.metadata(f"table:{name}") is None or store.metadata(f"keys:{name}") != want:
-        store.write(name, build(documents))
-        store.set_metadata(f"keys:{name}", want)
+    if not store.has(name) or store.metadata(f"keys:{name}") != want:
+        store.write(name, build(documents), {f"keys:{name}": want})
     return store.read(name)
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.session import durable
+from graphmill.session import SharedFiles, durable
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,49 +39,71 @@ def delete_by_tag(edges: DataFrame, tag: str) -> DataFrame:
 
 
 class TableStore:
-    """Parquet tables and JSON metadata under one folder; a version marker is written last."""
+    """Versioned Parquet tables and metadata under one folder of any file system that Spark can reach.
+
+    The state of the store, table versions and metadata together, is one small
+    file per commit, numbered; the highest number counts. A commit is one
+    rename: readers see all of it or nothing, and a writer that another one
+    overtook fails instead of losing the other's work. Old commits and the
+    table versions that only they name can be removed by `vacuum`.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _path(self, name: str) -> str:
-        with_version = self.metadata(f"table:{name}")
-        return f"{self.root}/{name}/v{with_version or 0}"
+        self.commits = SharedFiles(spark, f"{self.root}/_commits")
+
+    def _state(self) -> tuple[int, dict]:
+        names = [n for n in self.commits.names() if n.endswith(".json") and not n.startswith(".")]
+        if not names:
+            return 0, {}
+        return int(names[-1][:-5]), self.commits.read_json(names[-1])
+
+    def commit(self, tables: dict[str, DataFrame], metadata: dict | None = None) -> None:
+        """New versions of tables and metadata (a value of None removes its key) in one commit."""
+        number, state = self._state()
+        new = dict(state)
+        for name, df in tables.items():
+            path = f"{name}/v{number + 1}-{uuid.uuid4().hex[:8]}"
+            df.write.parquet(f"{self.root}/{path}")
+            new[f"table:{name}"] = path
+        for key, value in (metadata or {}).items():
+            if value is None:
+                new.pop(key, None)
+            else:
+                new[key] = value
+        if not self.commits.create_json(f"{number + 1:012d}.json", new):
+            raise RuntimeError("the store was changed by another writer")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(name))
+        return self.spark.read.parquet(f"{self.root}/{self._state()[1][f'table:{name}']}")
+
+    def has(self, name: str) -> bool:
+        return f"table:{name}" in self._state()[1]
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """Write a new version, then move the marker: readers see the old or the new table, never half of one."""
-        version = (self.metadata(f"table:{name}") or 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
-        self.set_metadata(f"table:{name}", version)
+    def write(self, name: str, df: DataFrame, metadata: dict | None = None) -> None:
+        self.commit({name: df}, metadata)
 
     def truncate(self, name: str) -> None:
         self.write(name, self.read(name).limit(0))
 
     def metadata(self, key: str):
-        try:
-            with open(os.path.join(self.root, "_meta.json")) as f:
-                return json.load(f).get(key)
-        except FileNotFoundError:
-            return None
+        return self._state()[1].get(key)
 
     def set_metadata(self, key: str, value) -> None:
-        os.makedirs(self.root, exist_ok=True)
-        path = os.path.join(self.root, "_meta.json")
-        try:
-            with open(path) as f:
-                meta = json.load(f)
-        except FileNotFoundError:
-            meta = {}
-        if value is None:
-            meta.pop(key, None)
-        else:
-            meta[key] = value
-        with open(path + ".new", "w") as f:
-            json.dump(meta, f)
-        os.replace(path + ".new", path)
+        self.commit({}, {key: value})
+
+    def vacuum(self) -> None:
+        """Remove all commits but the last and the table versions that it does not name; no reader may still use them."""
+        number, state = self._state()
+        live = {v for k, v in state.items() if k.startswith("table:")}
+        for name in self.commits.names():
+            if name.endswith(".json") and int(name[:-5]) < number:
+                self.commits.delete(name)
+        for table in {k.split(":", 1)[1] for k in state if k.startswith("table:")}:
+            files = SharedFiles(self.spark, f"{self.root}/{table}")
+            for v in files.names():
+                if f"{table}/{v}" not in live:
+                    files.delete(v)
 
 
 def incremental(old: DataFrame, new: DataFrame, key: str, digest: str, derive) -> tuple[DataFrame, DataFrame]:

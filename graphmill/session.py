@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import shutil
 import tempfile
@@ -33,9 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one made where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session.
+
+    Only a local session, whose executors are this machine, gets one of its own
+    where it is unset; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), f"graphmill-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -66,7 +73,8 @@ def spread(df: DataFrame) -> DataFrame:
     For narrow passes that cost far more than a shuffle of their input.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()  # of the physical plan; nothing runs
+    return df.repartition(cores) if parts < cores else df
 
 
 def release(df: DataFrame) -> None:
@@ -76,3 +84,46 @@ def release(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class SharedFiles:
+    """Small files under a folder of any file system that Spark can reach."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm, self.root = spark._jvm, root.rstrip("/")
+        self.fs = self.jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def names(self) -> list[str]:
+        if not self.fs.exists(self._path("")):
+            return []
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(self._path("")))
+
+    def read_json(self, name: str):
+        """The content of a JSON file, None where there is none."""
+        if not self.fs.exists(self._path(name)):
+            return None
+        stream = self.fs.open(self._path(name))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def create_json(self, name: str, value) -> bool:
+        """Write a JSON file that does not exist yet, whole or not at all; False where another writer was first."""
+        fresh = self._path(f".{name}.{uuid.uuid4().hex}")
+        self.fs.mkdirs(self._path(""))
+        stream = self.fs.create(fresh, True)
+        try:
+            stream.write(bytearray(json.dumps(value).encode()))
+        finally:
+            stream.close()
+        if self.fs.exists(self._path(name)) or not self.fs.rename(fresh, self._path(name)):
+            self.fs.delete(fresh, False)
+            return False
+        return True
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._path(name), True)

@@ -33,7 +33,7 @@ def sessions(events: DataFrame, key: str, at: str, gap: str = SESSION_IDLE, late
 
 
 def maintain(stream: DataFrame, store: TableStore, name: str, keys: list[str], checkpoint: str, after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Upsert every micro-batch into a stored table, once each: the batch number is written with the table.
+    """Upsert every micro-batch into a stored table, once each: table and batch number are one commit.
 
     A batch that was already applied is skipped when the query restarts.
     """
@@ -42,8 +42,7 @@ def maintain(stream: DataFrame, store: TableStore, name: str, keys: list[str], c
         done = store.metadata(f"batch:{name}")
         if done is not None and number <= done:
             return
-        store.write(name, upsert(store.read(name), batch, keys) if store.metadata(f"table:{name}") else batch)
-        store.set_metadata(f"batch:{name}", number)
+        store.write(name, upsert(store.read(name), batch, keys) if store.has(name) else batch, {f"batch:{name}": number})
         if after is not None:
             after(batch)
 
