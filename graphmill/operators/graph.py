@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphmill.functions.classify import edge_priority, prefetch_weight
 from graphmill.functions.text import is_well_named
+from graphmill.operators.retrieval import top_k
 from graphmill.operators.skew import lead_by_blocks
 from graphmill.session import durable, release
 
@@ -36,32 +37,50 @@ def pagerank(nodes: DataFrame, edges: DataFrame, weight: Column | None = None, i
     """(id, score) after exactly `iterations` power iterations from the teleport vector; scores sum to one.
 
     Parallel edges count once; edges with an unknown end are dropped; the mass
-    of nodes without out-edges is spread by the teleport vector. Every round is
-    one join on src and one partial aggregation on dst, written as a table.
+    of nodes without out-edges is spread by the teleport vector. The links are
+    partitioned and sorted by src once and kept, over a written table from which
+    a lost part is made again; a round shuffles ranks and partial sums, not
+    links, and tells the mass of the dead ends as it is written.
     """
     n = nodes.select("id", (weight if weight is not None else F.lit(1.0)).alias("w"))
+    n = durable(n)
     total = n.agg(F.sum("w")).first()[0]
     if not total:
         return nodes.select("id", F.lit(0.0).alias("score")).filter("false")
     ids = n.select("id")
     links = edges.select("src", "dst").distinct()
     links = links.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    links = durable(links)
     out = links.groupBy("src").agg(F.count("*").alias("fan"))
-    links = durable(links.join(out, "src"))
     base = durable(n.select("id", (F.col("w") / F.lit(total)).alias("tele")).join(out.withColumnRenamed("src", "id"), "id", "left"))
-    rank = durable(base.select("id", "tele", "fan", F.col("tele").alias("score")))
-    for _ in range(iterations):
-        lost = rank.filter("fan is null").agg(F.sum("score")).first()[0] or 0.0
-        got = links.join(rank.select(F.col("id").alias("src"), "score"), "src").groupBy("dst").agg(F.sum(F.col("score") / F.col("fan")).alias("in"))
-        new = base.join(got.withColumnRenamed("dst", "id"), "id", "left").select(
-            "id", "tele", "fan", ((1 - damping) * F.col("tele") + damping * (F.coalesce("in", F.lit(0.0)) + F.lit(lost) * F.col("tele"))).alias("score")
-        )
-        new = durable(new)
-        release(rank)
-        rank = new
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = links.repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
+    dead = F.coalesce(F.sum(F.when(F.col("fan").isNull(), F.col("score"))), F.lit(0.0)).alias("lost")
+    rank = base.select("id", "tele", "fan", F.col("tele").alias("score"))
+    lost = rank.agg(dead).first()[0]
+    try:
+        for _ in range(iterations):
+            given = rank.filter("fan is not null").select(F.col("id").alias("src"), (F.col("score") / F.col("fan")).alias("share"))
+            got = kept.join(given, "src").groupBy("dst").agg(F.sum("share").alias("in"))
+            new = base.join(got.withColumnRenamed("dst", "id"), "id", "left").select(
+                "id", "tele", "fan", ((1 - damping) * F.col("tele") + damping * (F.coalesce("in", F.lit(0.0)) + F.lit(lost) * F.col("tele"))).alias("score")
+            )
+            seen = Observation()
+            new = durable(new.observe(seen, dead))
+            lost = seen.get["lost"]
+            release(rank)
+            rank = new
+    finally:
+        kept.unpersist()
     return rank.select("id", "score")
 
 
+def strongest(adj: DataFrame, fanout: int, weight: str | None = None) -> DataFrame:
+    """The first `fanout` rows (a, b) of each a by weight, greatest first, ties by b; a hot node is cut in parts first."""
+    ranked = adj if weight else adj.withColumn("_w", F.lit(0.0))
+    return top_k(ranked, fanout, ["a"], weight or "_w", "b").drop("rank", "_w")
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Distinct (a, b) in both directions without loops."""
     e = edges.select("src", "dst").filter("src <> dst")
@@ -70,7 +89,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(qid, id, hop) of every node within `hops` undirected steps of the seeds (qid, id); hop is the least."""
-    adj = undirected(edges)
+    adj = durable(undirected(edges))
     seen = seeds.select("qid", "id").distinct().withColumn("hop", F.lit(0).cast("long"))
     front = seen
     for h in range(1, hops + 1):
@@ -89,7 +108,8 @@ def propagate_labels(edges: DataFrame, seeds: DataFrame, hops: int, kinds: list[
     e = edges.filter(F.col("edge_type").isin(kinds)) if kinds else edges
     adj = undirected(e)
     if fanout:
-        adj = adj.withColumn("n", F.row_number().over(W.partitionBy("a").orderBy("b"))).filter(F.col("n") <= fanout).drop("n")
+        adj = strongest(adj, fanout)
+    adj = durable(adj)
     seen = seeds.select("id", "label").distinct().withColumn("hop", F.lit(0).cast("long"))
     front = seen
     for h in range(1, hops + 1):
@@ -152,9 +172,9 @@ def ranked_expansion(edges: DataFrame, roots: DataFrame, depth: int = 1, fanout:
     deg = degrees(edges).select("id", "degree")
     w = edges.select("src", "dst", "edge_type", edge_priority(F.col("edge_type"), tags, trace).alias("w"))
     adj = w.select(F.col("src").alias("a"), F.col("dst").alias("b"), "edge_type", "w").union(w.select("dst", "src", "edge_type", "w")).filter("a <> b")
-    adj = adj.withColumn("n", F.row_number().over(W.partitionBy("a").orderBy(F.desc("w"), "b", "edge_type"))).filter(F.col("n") <= fanout)
+    adj = strongest(adj, fanout, "w")
     adj = adj.groupBy("a", "b").agg(F.max("w").alias("w")).join(deg.withColumnRenamed("id", "b"), "b")
-    adj = adj.select("a", "b", (decay * F.col("w") / (1 + 0.14 * F.log1p("degree"))).alias("f"))
+    adj = durable(adj.select("a", "b", (decay * F.col("w") / (1 + 0.14 * F.log1p("degree"))).alias("f")))
     best = roots.select("qid", "id").distinct().withColumn("score", F.lit(1.0)).withColumn("hop", F.lit(0).cast("long"))
     front = best
     for h in range(1, depth + 1):
@@ -178,7 +198,7 @@ def predict_context(
     """
     w = edges.select("src", "dst", prefetch_weight(F.col("edge_type")).alias("w"))
     adj = w.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w").union(w.select("dst", "src", F.col("w") * reverse)).filter("a <> b")
-    adj = adj.withColumn("n", F.row_number().over(W.partitionBy("a").orderBy(F.desc("w"), "b"))).filter(F.col("n") <= fanout).drop("n")
+    adj = durable(strongest(adj, fanout, "w"))
     seeds = seeds.select("qid", "id").distinct()
     at = seeds.join(nodes.select("id", "file_path"), "id")
     mates = at.select("qid", F.col("id").alias("seed"), "file_path").join(nodes.select("id", "file_path"), "file_path").filter("id <> seed")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.functions.paths import file_name, parent_dir
+from graphmill.session import durable
 
 #: Hexadecimal digits of a name's digest that choose its bucket: 4,096 buckets per folder.
 BUCKET_HEX = 3
@@ -21,6 +22,7 @@ def merkle_build(leaves: DataFrame, max_depth: int | None = None) -> DataFrame:
     of levels is the depth of the hierarchy.
     """
     files = leaves.select("path", F.lit("file").alias("kind"), F.size(F.split("path", "/")).alias("depth"), "hash")
+    files = durable(files)  # the hashes are taken from the contents once
     deepest = max_depth or files.agg(F.max("depth")).first()[0]
     if not deepest:
         return files.filter("false")
@@ -35,6 +37,7 @@ def merkle_build(leaves: DataFrame, max_depth: int | None = None) -> DataFrame:
         bucket = bucket.select("path", F.concat_ws("|", "part", F.sha2(F.array_join("l", "\n"), 256)).alias("b"))
         folder = bucket.groupBy("path").agg(F.array_sort(F.collect_list("b")).alias("l"))
         below = folder.select("path", F.lit("dir").alias("kind"), F.lit(d - 1).alias("depth"), F.sha2(F.array_join("l", "\n"), 256).alias("hash"))
+        below = durable(below)
         out.append(below)
     res = out[0]
     for o in out[1:]:

@@ -99,7 +99,7 @@ def _(s, d):
     select src, dst_name, arg_min(target, struct_pack(s := -score, t := target)) as target, max(score)::double as score from sc group by src, dst_name""",
 )
 def _(s, d):
-    return B.bind_ranked(X.name_edges(s, d), X.nodes(s, d))
+    return B.bind_ranked(X.name_edges(s, d), durable(X.nodes(s, d)))
 
 
 @query(
@@ -110,7 +110,7 @@ def _(s, d):
     select src, dst_name, b.t as target, case when n = 1 then 0.92 when b.same then 0.84 else 0.64 end::double as confidence, case when n = 1 then 'unique_name' when b.same then 'file_locality' else 'path_locality' end as evidence from b""",
 )
 def _(s, d):
-    return B.bind_locality(X.name_edges(s, d), X.nodes(s, d))
+    return B.bind_locality(X.name_edges(s, d), durable(X.nodes(s, d)))
 
 
 @query(
@@ -120,7 +120,7 @@ def _(s, d):
     select distinct r.src, r.dst from r join m using (src, dst_name, tier)""",
 )
 def _(s, d):
-    return B.bind_fanout(X.name_edges(s, d), X.nodes(s, d))
+    return B.bind_fanout(X.name_edges(s, d), durable(X.nodes(s, d)))
 
 
 @query(
@@ -129,7 +129,7 @@ def _(s, d):
     b as (select src, dst_name, arg_min(target, struct_pack(s := -score, t := target)) as target from sc group by 1, 2) select target as id, count(distinct src) as callers from b group by target""",
 )
 def _(s, d):
-    return B.bind_ranked(X.name_edges(s, d), X.nodes(s, d)).groupBy(F.col("target").alias("id")).agg(F.countDistinct("src").alias("callers"))
+    return B.bind_ranked(X.name_edges(s, d), durable(X.nodes(s, d))).groupBy(F.col("target").alias("id")).agg(F.countDistinct("src").alias("callers"))
 
 
 @query("callees_by_id", f"{NE} select src as id, count(distinct dst) as callees from g_edges where edge_type = 'Calls' group by src")
@@ -195,12 +195,12 @@ def _(s, d):
     return B.nearest(p, v, "user_id", "ts", "ots")
 
 
-@query("anti_deleted", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
-def _(s, d):
-    return table(s, d, "customer").select("c_custkey").join(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+_V = X.ctes("docs_v1", "docs_v2")
 
 
-_V = X.ctes("docs_v1", "docs_v2")
+@query("anti_deleted", f"{_V} select doc_id from docs_v1 where doc_id not in (select doc_id from docs_v2)")
+def _(s, d):
+    return X.docs_v1(s, d).select("doc_id").join(X.docs_v2(s, d).select("doc_id"), "doc_id", "left_anti")
 
 
 @query("hash_change_class", f"{_V} select coalesce(a.doc_id, b.doc_id) as doc_id, case when a.doc_id is null then 'new' when b.doc_id is null then 'deleted' when sha256(a.text) = sha256(b.text) then 'unchanged' else 'modified' end as change from docs_v1 a full join docs_v2 b on a.doc_id = b.doc_id")

@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None):
 
 def _index(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "text")
-    return R.postings(docs, {"body": T.code_tokens(F.col("text"))})
+    return durable(R.postings(docs, {"body": T.code_tokens(F.col("text"))}))  # read for lengths, frequencies and hits
 
 
 def _query_set(s: SparkSession, d: str) -> DataFrame:
@@ -83,7 +83,7 @@ def _(s, d):
 
 def _legs(s: SparkSession, d: str) -> DataFrame:
     """Ranks of three legs: raw terms, expanded terms, hash vectors of the query and of every document that has a text."""
-    idx = durable(_index(s, d))
+    idx = _index(s, d)
     q = _query_set(s, d)
     raw = R.ranked(R.bm25(idx, q, {"body": 1.0}).withColumn("score", F.round("score", 9)), "raw", STAGE)
     wide = q.select("qid", T.expand_terms(T.useful_terms(F.col("terms")), T.EXPANDED_TERMS).alias("terms"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphmill.operators.diffs import diff_pairs
 from graphmill.operators.hierarchy import current_rows
 from graphmill.plans import fixtures as X
-from graphmill.session import table
+from graphmill.session import spread, table
 from graphmill.sources import parsers as PR
 from graphmill.streaming import live
 
@@ -31,12 +31,12 @@ def _files(s, d):
 
 @query("parse_symbols")
 def _(s, d):
-    return PR.extract_symbols(_files(s, d)).select("id", "name", "kind", "file_path", "start_line", "end_line", "parent_id", "language", "qualified_name", "token_count")
+    return PR.extract_symbols(spread(_files(s, d))).select("id", "name", "kind", "file_path", "start_line", "end_line", "parent_id", "language", "qualified_name", "token_count")
 
 
 @query("parse_edges")
 def _(s, d):
-    return PR.extract_edges(_files(s, d)).select("src", "dst", "edge_type")
+    return PR.extract_edges(spread(_files(s, d))).select("src", "dst", "edge_type")
 
 
 @query("tree_diff")
