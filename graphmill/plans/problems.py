@@ -39,6 +39,13 @@ def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """One row per symbol: its descendants are the symbols of its root with pre in (pre, last]; in place of the pairs, whose number is the sum of all depths."""
+    links, _ = _links(spark, d)
+    placed = H.heavy_paths(links)
+    return placed.select(F.col("node").alias("symbol_id"), F.col("root").alias("root_id"), "pre", (F.col("pre") + F.col("subtree_size") - 1).alias("last"))
+
+
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     links, _ = _links(spark, d)
     pairs = H.descendants(H.heavy_paths(links))
@@ -94,7 +101,7 @@ def _targets(spark: SparkSession, d: str) -> dict:
 
 
 def p7_orphans(spark: SparkSession, d: str) -> DataFrame:
-    return O.orphan_references(_references(spark, d), ["path", "part"], _targets(spark, d), "observed_at")
+    return O.orphan_references(durable(_references(spark, d)), ["path", "part"], _targets(spark, d), "observed_at")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -117,23 +124,35 @@ def _plain_sql(col: str) -> str:
     return out
 
 
-P3_SQL = f"""
-with recursive cur as (
-  select id, arg_max(struct_pack(p := parent_id, c := children), ingested_at) as s from symbols where id is not null group by id),
+_P3_LINKS = f"""cur as (
+  select id, arg_max(struct_pack(p := parent_id, c := children, n := name), ingested_at) as s from symbols where id is not null group by id),
 listed as (
   select {_plain_sql('c')} as id, min(id) as lister from (select id, unnest(s.c) as c from cur) group by 1),
-named as (select id, nullif({_plain_sql('s.p')}, '') as p from cur),
+named as (select id, nullif({_plain_sql('s.p')}, '') as p, coalesce(s.n, id) as name from cur),
 links as (
-  select n.id, coalesce(n.p, l.lister) as p from named n left join listed l on l.id = n.id
-  where coalesce(n.p, l.lister) in (select id from cur)),
+  select n.id, n.name, coalesce(n.p, l.lister) as w from named n left join listed l on l.id = n.id),
+linked as (select id, name, case when w in (select id from cur) then w end as p from links),
 walk as (
-  select id as start, p as node, 1 as n from links
-  union all
-  select w.start, l.p, w.n + 1 from walk w join links l on l.id = w.node where w.node <> w.start and w.n < 200),
+  select id as start, p as node from linked where p is not null
+  union
+  select w.start, l.p from walk w join linked l on l.id = w.node where l.p is not null),
 on_cycle as (select distinct start from walk where node = start),
-ring as (select w.start, w.node from walk w join on_cycle o on o.start = w.start)
-select start as symbol_id, least(start, min(node)) as cycle_id from ring group by start
-"""
+rings as (select w.start as id, least(w.start, min(w.node)) as cycle_id from walk w join on_cycle o on o.start = w.start group by w.start)"""
+P3_SQL = f"with recursive {_P3_LINKS} select id as symbol_id, cycle_id from rings"
+_P3_TREE = f"""with recursive {_P3_LINKS},
+forest as (select l.id, l.name, case when r.id is null then l.p end as p, r.cycle_id from linked l left join rings r on r.id = l.id),
+down as (
+  select id, p, id as root, 0 as depth, name as path, cycle_id, cycle_id as root_cycle_id from forest where p is null
+  union all
+  select f.id, f.p, d.root, d.depth + 1, concat(d.path, ' > ', f.name), f.cycle_id, d.root_cycle_id from down d join forest f on f.p = d.id),
+above as (
+  select id, id as node, 0 as distance from forest
+  union all
+  select a.id, f.p, a.distance + 1 from above a join forest f on f.id = a.node where f.p is not null)"""
+P3_TREE_SQL = f"""{_P3_TREE}, sizes as (select node, count(*) as n from above group by node)
+select d.id as symbol_id, d.p as parent_symbol_id, d.root as root_id, cast(d.depth as bigint) as depth, d.path, cast(s.n as bigint) as subtree_size, d.cycle_id, d.root_cycle_id
+from down d join sizes s on s.node = d.id"""
+P3_PAIRS_SQL = f"{_P3_TREE} select node as symbol_id, id as descendant_id, cast(distance as bigint) as distance from above where distance > 0"
 
 _DIGEST = "nullif(regexp_replace(lower(regexp_replace({0}, '\\s+', '', 'g')), '^(.*:|0x)', ''), '')"
 
@@ -192,6 +211,7 @@ def queries() -> dict:
         "p3_found": p3_found,
         "p3_hierarchy": p3_hierarchy,
         "p3_descendants": p3_descendants,
+        "p3_intervals": p3_intervals,
         "p4_found": p4_found,
         "p4_changes_per_run": p4_changes_per_run,
         "p7_found": p7_found,
@@ -202,6 +222,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": P3_SQL,
+        "p3_hierarchy": P3_TREE_SQL,
+        "p3_descendants": P3_PAIRS_SQL,
         "p4_found": P4_SQL,
         "p4_changes_per_run": f"select run_id, change, count(*) as symbols from ({P4_SQL}) group by run_id, change",
         "p7_found": P7_SQL,
