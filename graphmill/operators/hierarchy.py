@@ -66,7 +66,7 @@ def parent_links(
         .groupBy("node")
         .agg(F.min("lister").alias("lister"))
     )
-    wanted = own.join(listed, "node", "left").select("node", F.coalesce("named", "lister").alias("parent"))
+    wanted = durable(own.join(listed, "node", "left").select("node", F.coalesce("named", "lister").alias("parent")))  # read for its hot keys, too
     known = own.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
     return skew_join(wanted, known, "parent").select("node", F.when(F.col("known"), F.col("parent")).alias("parent"))
 
@@ -82,19 +82,24 @@ def cycle_nodes(links: DataFrame) -> DataFrame:
     """(node, cycle_id) of every node on a cycle of (node, parent); cycle_id is the least node of the cycle.
 
     A node that is its own parent is a cycle of one. Nodes that hang below a
-    cycle are not on it. Null parents are no links; no rows give no rows.
+    cycle are not on it. Null parents are no links; no rows give no rows. A row
+    stays while some row jumps to it and its own target stays; a round in which
+    none leaves is the last.
     """
-    first = links.filter("parent is not null").select("node", F.col("parent").alias("jump"))
-    state, before = durable(first), -1
-    while True:
+    first = durable(links.filter("parent is not null").select("node", F.col("parent").alias("jump")))
+    # most nodes have no children and leave at once
+    state = durable(first.join(first.select(F.col("jump").alias("node")).distinct(), "node", "left_semi"))
+    before = state.count()
+    while before:
+        # restrict the jumps to their image, and square them
         image = state.select(F.col("jump").alias("node")).distinct()
-        state = _next(state, state.join(image, "node", "left_semi"))
-        now = state.count()
-        if now == 0 or now == before:
+        on = state.join(image, "node", "left_semi")
+        new = durable(skew_join(on, state.select(F.col("node").alias("jump"), F.col("jump").alias("far")), "jump", "inner").select("node", F.col("far").alias("jump")))
+        release(state)
+        state, now = new, new.count()
+        if now == before:  # nothing left the table: the jump is a bijection on it
             break
         before = now
-        step = state.select(F.col("node").alias("jump"), F.col("jump").alias("far"))
-        state = _next(state, skew_join(state, step, "jump", "inner").select("node", F.col("far").alias("jump")))
     ring = first.join(state.select("node"), "node", "left_semi").withColumn("cycle_id", F.least("node", "jump"))
     ring = durable(ring)
     while True:
@@ -115,15 +120,23 @@ def _double(state: DataFrame, up: str, carry: dict[str, Column], extra=None) ->
 
     carry: column -> expression over this row's columns and the far row's, which are prefixed ``far_``.
     """
+    cols = [c for c in state.columns if c not in ("node", up)]
+    keep = [carry.get(c, F.col(c)).alias(c) for c in cols]
     state = durable(state)
-    while state.filter(F.col(up).isNotNull()).limit(1).count():
-        cols = [c for c in state.columns if c not in ("node", up)]
-        far = state.select(F.col("node").alias(up), F.col(up).alias("far_up"), *[F.col(c).alias(f"far_{c}") for c in cols])
-        base = state if extra is None else extra(state)
-        joined = skew_join(base, far, up)
-        keep = [carry.get(c, F.col(c)).alias(c) for c in cols]
-        state = _next(state, joined.select("node", F.col("far_up").alias(up), *keep))
-    return state
+    if extra is not None:  # every row may change in every round
+        while state.filter(F.col(up).isNotNull()).limit(1).count():
+            far = state.select(F.col("node").alias(up), F.col(up).alias("far_up"), *[F.col(c).alias(f"far_{c}") for c in cols])
+            state = _next(state, skew_join(extra(state), far, up).select("node", F.col("far_up").alias(up), *keep))
+        return state
+    # finished rows are written once and only looked up from then on
+    done = state.filter(F.col(up).isNull())
+    active = state.filter(F.col(up).isNotNull())
+    while active.limit(1).count():
+        every = done.unionByName(active)
+        far = every.select(F.col("node").alias(up), F.col(up).alias("far_up"), *[F.col(c).alias(f"far_{c}") for c in cols])
+        step = durable(skew_join(active, far, up).select("node", F.col("far_up").alias(up), *keep))
+        done, active = done.unionByName(step.filter(F.col(up).isNull())), step.filter(F.col(up).isNotNull())
+    return done
 
 
 def heavy_paths(links: DataFrame, cycles: DataFrame | None = None, names: DataFrame | None = None, sep: str = " > ") -> DataFrame:

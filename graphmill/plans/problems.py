@@ -15,7 +15,7 @@ from graphmill.session import durable, table
 
 
 def _links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = H.current_rows(table(spark, d, "symbols"), "id", "ingested_at", ["parent_id", "children", "name"])
+    rows = durable(H.current_rows(table(spark, d, "symbols"), "id", "ingested_at", ["parent_id", "children", "name"]))
     return durable(H.parent_links(rows)), rows.select(F.col("id").alias("node"), "name")
 
 
