@@ -338,7 +338,7 @@ def _brace_islands(text: str, lines: list[str], grammar: Grammar) -> Iterator[di
         end = close.get(opens[k], len(text) - 1)
         top = i - 1
         notes = []
-        while top >= 1 and top not in water and grammar.notes.match(lines[top - 1]):
+        while top >= 1 and (top not in water or top in comments) and grammar.notes.match(lines[top - 1]):
             notes.insert(0, lines[top - 1])
             top -= 1
         doc, gap = [], 0
